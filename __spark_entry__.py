@@ -20,7 +20,7 @@ from opinion_spark.operators.redirects import resolve_redirects  # noqa: E402
 from opinion_spark.plans import chains  # noqa: E402
 from opinion_spark.sources.files import side_list  # noqa: E402
 from opinion_spark.sources.network import parse_network  # noqa: E402
-from opinion_spark.sources.posts import parse_posts  # noqa: E402
+from opinion_spark.sources.posts import linked_urls, parse_posts  # noqa: E402
 
 
 class Params:
@@ -84,7 +84,8 @@ def _daily(spark: SparkSession, d: str, originals_only: bool) -> DataFrame:
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     posts = parse_posts(fx.raw_posts(spark, d)).drop("raw")
-    return posts.withColumn("urls", F.array_join("urls", " "))
+    urls = F.transform("urls", lambda u: F.coalesce(u["expanded_url"], u["url"]))
+    return posts.withColumn("urls", F.array_join(urls, " "))
 
 
 def _buzz(spark: SparkSession, d: str) -> DataFrame:
@@ -134,9 +135,9 @@ def _paired_url(spark: SparkSession, d: str) -> DataFrame:
 
     def lists(n_links: int) -> DataFrame:
         rows = posts.where(F.size("urls") == n_links)
-        return item_sets.item_sets(rows.select(F.explode("urls").alias("item"), "user_id"))
+        return item_sets.item_sets(linked_urls(rows, "user_id").withColumnRenamed("url", "item"))
 
-    sets = item_sets.dedupe_sets(lists(1).unionByName(lists(2)))
+    sets = item_sets.latest_sets(lists(1), lists(2))
     return similarity.item_pairs(
         item_sets.unpack(sets, "item", "users", "user_id"), P.URL_JACCARD
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from opinion_spark.functions.text import to_base64
 from opinion_spark.functions.urls import trim_url
 from opinion_spark.operators.item_sets import pack
+from opinion_spark.schemas import URL_ENTITIES
 
 KEYWORDS = ("sich", "dans", "für", "under", "ción", "idiot", "under")
 TOPICS = ("ción", "eau")
@@ -82,6 +83,19 @@ def _with_urls(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _links() -> Column:
+    """Link entities; the second link of a post has no expanded form."""
+    first = F.struct(F.col("first_url").alias("url"), F.col("first_url").alias("expanded_url"))
+    second = F.struct(
+        F.col("second_url").alias("url"), F.lit(None).cast("string").alias("expanded_url")
+    )
+    return (
+        F.when(F.col("second_url").isNotNull(), F.array(first, second))
+        .when(F.col("first_url").isNotNull(), F.array(first))
+        .otherwise(F.array().cast(URL_ENTITIES))
+    )
+
+
 def posts(
     spark: SparkSession, sf_dir: str, texts: bool = False, urls: bool = False
 ) -> DataFrame:
@@ -105,7 +119,7 @@ def posts(
         ]
     if urls:
         rows = _with_urls(rows, spark, sf_dir)
-        columns.append(F.array_compact(F.array("first_url", "second_url")).alias("urls"))
+        columns.append(_links().alias("urls"))
     return rows.select(*columns)
 
 
@@ -116,19 +130,6 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("is_retweet"),
         F.struct(F.col("k").alias("id"), F.col("shared_text").alias("text")),
     )
-
-    def link(url: str, expanded: Column) -> Column:
-        return F.when(
-            F.col(url).isNotNull(),
-            F.struct(F.col(url).alias("url"), expanded.alias("expanded_url")),
-        )
-
-    links = F.array_compact(
-        F.array(
-            link("first_url", F.col("first_url")),
-            link("second_url", F.lit(None).cast("string")),
-        )
-    )
     body = F.to_json(
         F.struct(
             F.col("event_id").alias("id"),
@@ -141,7 +142,7 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("shares").alias("retweet_count"),
             F.struct(F.col("author").alias("id")).alias("user"),
             reshared.alias("retweeted_status"),
-            F.struct(links.alias("urls")).alias("entities"),
+            F.struct(_links().alias("urls")).alias("entities"),
         )
     )
     broken = F.when(F.col("key") == 0, "").otherwise("{bad")
@@ -195,7 +196,11 @@ def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(user_id, followee)`` of public accounts; NULL for accounts that follow nobody."""
     public = table(spark, sf_dir, "customer").where("c_acctbal >= 0")
     ids = public.select(F.col("c_custkey").alias("user_id"))
-    return ids.join(_follow_edges(spark, sf_dir), "user_id", "left")
+    edges = _follow_edges(spark, sf_dir)
+    silent = ids.join(edges.select("user_id").distinct(), "user_id", "left_anti")
+    return edges.join(ids, "user_id", "left_semi").unionByName(
+        silent.withColumn("followee", F.lit(None).cast("bigint"))
+    )
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,10 +218,10 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ``(profile, csv)`` records. A list too long for a row goes on in a further record."""
     edges = _follow_edges(spark, sf_dir)
-    following = pack(edges, "user_id", "followee", "following").select(
+    following = pack(edges, "user_id", "followee", "following", unique=True).select(
         F.col("user_id").alias("id"), "part", "following"
     )
-    followers = pack(edges, "followee", "user_id", "followers").select(
+    followers = pack(edges, "followee", "user_id", "followers", unique=True).select(
         F.col("followee").alias("id"), "part", "followers"
     )
     lists = following.join(followers, ["id", "part"], "full")

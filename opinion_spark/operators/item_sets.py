@@ -11,60 +11,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinion_spark.staging import stage, staged_lookup
+
 PART_BYTES = 32 << 20
+ID_BYTES = 8
 
 
 def at_least(edges: DataFrame, item: str, th: int) -> DataFrame:
-    """Distinct ``edges`` of items with ``th`` or more members.
+    """Distinct ``edges`` of items with ``th`` or more members, with their number as ``n``.
 
-    The members are counted with a map-side combine and only the counts meet the edges again, in
-    a join with a unique right side that Spark can split where an item is hot.
+    The members are counted with a map-side combine and only the counts meet the edges again.
     """
-    distinct = edges.distinct()
-    kept = distinct.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") >= th).select(item)
-    return distinct.join(kept, item, "left_semi")
+    distinct = stage(edges.distinct(), "edges")
+    sizes = distinct.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") >= th)
+    return distinct.join(staged_lookup(sizes), item)
 
 
 def pack(
-    edges: DataFrame, key: str, value: str, name: str, part_bytes: int = PART_BYTES
+    edges: DataFrame,
+    key: str,
+    value: str,
+    name: str,
+    part_bytes: int = PART_BYTES,
+    unique: bool = False,
 ) -> DataFrame:
-    """``(key, n, digest, part, name)``: the values of a key as sorted lists of bounded size.
+    """``(key, n, part, name)``: the values of a key as sorted lists of bounded size.
 
-    ``n`` is the size of the whole list and ``digest`` tells lists of one key apart. Repeated values stay in the list: they are counted
+    ``n`` is the size of the whole list. Repeated values stay in the list: they are counted
     before the shuffle, and very frequent ones are cut into runs so that they spread as well.
+    ``unique`` says that no value repeats under its key. Unique ids that already come with ``n``
+    are packed in one shuffle.
     """
-    kind = dict(edges.dtypes)[value]
-    width = (F.octet_length(value) if kind == "string" else F.lit(8)).cast("bigint")
-    counted = edges.groupBy(key, value).agg(F.count("*").alias("times"))
+    is_id = dict(edges.dtypes)[value] != "string"
+    width = (F.lit(ID_BYTES) if is_id else F.octet_length(value)).cast("bigint")
+    if unique and is_id and "n" in edges.columns:
+        parts = F.ceil(F.col("n") * width / part_bytes)
+        spread = edges.select(
+            key, "n", value, F.pmod(F.xxhash64(value), parts).cast("int").alias("part")
+        )
+        collected = F.collect_list(value)
+    else:
+        spread = _runs(edges, key, value, width, part_bytes, unique)
+        collected = F.flatten(F.collect_list(F.array_repeat(value, F.col("repeats"))))
+    # The join before may have placed the rows by key alone, so place them by part first.
+    placed = spread.repartition(key, "part")
+    lists = placed.groupBy(key, "n", "part").agg(collected.alias(name))
+    return lists.select(key, "n", "part", F.sort_array(name).alias(name))
+
+
+def _runs(edges, key, value, width, part_bytes, unique) -> DataFrame:
+    """``(key, n, part, value, repeats)`` with no more repeats in a row than fit one part."""
+    if unique:
+        counted = edges.select(key, value, F.lit(1).cast("bigint").alias("times"))
+    else:
+        counted = edges.groupBy(key, value).agg(F.count("*").alias("times"))
+    counted = stage(counted, "counted")
     sizes = counted.groupBy(key).agg(
         F.sum("times").alias("n"),
-        F.bit_xor(F.xxhash64(value, "times")).alias("digest"),
         F.ceil(F.sum(F.col("times") * width) / part_bytes).alias("parts"),
     )
-    run_length = F.greatest(F.lit(1), F.floor(F.lit(part_bytes) / F.greatest(width, F.lit(1))))
-    runs = F.ceil(F.col("times") / F.col("run_length"))
-    spread = (
-        counted.join(sizes, key)
-        .withColumn("run_length", run_length)
-        .withColumn("run", F.explode(F.sequence(F.lit(1), runs)))
-        .withColumn(
-            "repeats",
-            F.least(
-                F.col("run_length"),
-                F.col("times") - (F.col("run") - 1) * F.col("run_length"),
-            ).cast("int"),
-        )
-        .withColumn(
-            "part",
-            F.pmod(F.xxhash64(value, "run"), F.greatest(F.col("parts"), F.lit(1))).cast("int"),
+    length = F.greatest(F.lit(1), F.floor(F.lit(part_bytes) / F.greatest(width, F.lit(1))))
+    runs = F.sequence(F.lit(1), F.ceil(F.col("times") / length))
+    rest = F.col("times") - (F.col("run") - 1) * length
+    part = F.pmod(F.xxhash64(value, "run"), F.greatest(F.col("parts"), F.lit(1)))
+    return (
+        counted.join(staged_lookup(sizes), key)
+        .withColumn("run", F.explode(runs))
+        .select(
+            key,
+            "n",
+            part.cast("int").alias("part"),
+            value,
+            F.least(length, rest).cast("int").alias("repeats"),
         )
     )
-    # The join leaves the rows placed by key alone, so place them by part before they are listed.
-    placed = spread.select(key, "n", "digest", "part", value, "repeats").repartition(key, "part")
-    lists = placed.groupBy(key, "n", "digest", "part").agg(
-        F.flatten(F.collect_list(F.array_repeat(value, F.col("repeats")))).alias(name)
-    )
-    return lists.select(key, "n", "digest", "part", F.sort_array(name).alias(name))
 
 
 def unpack(sets: DataFrame, key: str, name: str, value: str) -> DataFrame:
@@ -87,13 +107,8 @@ def threshold_item_sets(sets: DataFrame, th: int = 1) -> DataFrame:
     return sets.where(F.col("n") >= th)
 
 
-def dedupe_sets(sets: DataFrame) -> DataFrame:
-    """One list per item; of several the one with the largest first part stays, whole."""
-    last = (
-        sets.where("part = 0")
-        .groupBy("item")
-        .agg(F.max(F.struct("users", "n", "digest")).alias("last"))
-        .select("item", "last.n", "last.digest")
-    )
-    kept = sets.join(last, ["item", "n", "digest"], "left_semi")
-    return kept.dropDuplicates(["item", "part"])
+def latest_sets(sets: DataFrame, *later: DataFrame) -> DataFrame:
+    """One list per item out of several packed tables; a later table replaces whole lists."""
+    for newer in later:
+        sets = sets.join(newer.select("item"), "item", "left_anti").unionByName(newer)
+    return sets

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.text import contains_any
-from opinion_spark.sources.posts import valid
+from opinion_spark.sources.posts import linked_urls, valid
 
 # The ten parties of the 2013 election.
 PARTY_NAMES = (
@@ -50,11 +50,7 @@ def term_buzz(posts: DataFrame, terms: Iterable[str] = PARTY_NAMES) -> DataFrame
 
 def topic_url_user(posts: DataFrame, topics: Iterable[str]) -> DataFrame:
     """One ``(url, key)`` row for each link in a post on the topics; repeats stay."""
-    return (
-        topic_posts(posts, topics)
-        .select(F.explode("urls").alias("url"), "key")
-        .where(F.col("url").isNotNull())
-    )
+    return linked_urls(topic_posts(posts, topics), "key")
 
 
 def topic_url_count(posts: DataFrame, topics: Iterable[str]) -> DataFrame:

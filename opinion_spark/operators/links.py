@@ -9,7 +9,8 @@ from opinion_spark.functions.text import html_title
 from opinion_spark.functions.urls import trim_url
 from opinion_spark.operators.item_sets import PART_BYTES, pack
 from opinion_spark.operators.redirects import MAX_HOPS, expand_once, resolve_redirects
-from opinion_spark.sources.posts import valid
+from opinion_spark.sources.posts import linked_urls, valid
+from opinion_spark.staging import stage, staged_lookup
 
 # Rows of the mention counts that stand for posts with and without a link.
 WITH_URL = "withURL"
@@ -23,18 +24,19 @@ def url_count(posts: DataFrame, markers: bool = True) -> DataFrame:
 
     A record that could not be parsed counts as one without a link.
     """
-    urls = F.coalesce("urls", F.array().cast("array<string>"))
-    marker = F.when(F.size(urls) > 0, F.lit(WITH_URL)).otherwise(F.lit(NO_URL))
-    entries = F.concat(urls, F.array(marker)) if markers else urls
-    rows = posts.where(F.col("key") != 0).select(F.explode(entries).alias("url"))
-    return rows.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n"))
+    authored = posts.where(F.col("key") != 0)
+    if markers:
+        # The marker rides along as one more link, so both counts come from one pass.
+        marker = F.when(F.size("urls") > 0, F.lit(WITH_URL)).otherwise(F.lit(NO_URL))
+        entity = F.struct(marker.alias("url"), marker.alias("expanded_url"))
+        authored = authored.select(F.concat("urls", F.array(entity)).alias("urls"))
+    return linked_urls(authored).groupBy("url").agg(F.count("*").alias("n"))
 
 
 def shared_urls(posts: DataFrame) -> DataFrame:
     """``(url, user_id)`` rows of the trimmed links of parsed posts."""
     named = valid(posts).where(F.col("user_id").isNotNull())
-    links = named.select(F.explode("urls").alias("url"), "user_id")
-    return links.where("url IS NOT NULL").select(trim_url(F.col("url")).alias("url"), "user_id")
+    return linked_urls(named, "user_id").withColumn("url", trim_url(F.col("url")))
 
 
 def url_refer(
@@ -49,12 +51,14 @@ def url_refer(
     The threshold comes first, then each kept link is resolved once, and only then the users
     join. Two links with the same end keep the rows of both.
     """
-    edges = shared_urls(posts).distinct()
+    edges = stage(shared_urls(posts).distinct(), "edges")
     kept = edges.groupBy("url").agg(F.count("*").alias("users")).where(F.col("users") >= th)
     resolved = resolve_redirects(
         kept.select("url"), redirects, max_hops, on_malformed="drop", unreachable=unreachable
     )
-    return edges.join(resolved, "url").select(F.col("final").alias("url"), "user_id")
+    return edges.join(staged_lookup(resolved), "url").select(
+        F.col("final").alias("url"), "user_id"
+    )
 
 
 def url_expand(
@@ -78,7 +82,7 @@ def buzz_extract(
     """Links with strictly more than ``th`` mentions, blank-joined per count."""
     popular = url_counts.where((F.col("n") > th) & ~F.col("url").isin(WITH_URL, NO_URL))
     rows = popular.select(F.col("n").alias("mentions"), "url")
-    lists = pack(rows, "mentions", "url", "urls", part_bytes)
+    lists = pack(rows, "mentions", "url", "urls", part_bytes, unique=True)
     return lists.select(
         F.col("mentions").alias("n"), "part", F.array_join("urls", " ").alias("urls")
     )
@@ -93,10 +97,14 @@ def buzz_url_expand(
 
 
 def topic_url_title(url_counts: DataFrame, pages: DataFrame, th: int = 10) -> DataFrame:
-    """Links per page title, for links with ``th`` or more mentions."""
+    """Links per page title, for links with ``th`` or more mentions. A page crawled more than once
+    counts once."""
     # The title is taken before the join, so the page bodies are not shuffled.
-    titles = pages.select("url", html_title(F.col("html")).alias("title")).where(
-        "title IS NOT NULL"
+    titles = (
+        pages.select("url", html_title(F.col("html")).alias("title"))
+        .where("title IS NOT NULL")
+        .groupBy("url")
+        .agg(F.max("title").alias("title"))
     )
     popular = url_counts.where(F.col("n") >= th).select("url")
     return popular.join(titles, "url").groupBy("title").agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from opinion_spark.functions.text import strict_long
 from opinion_spark.sources.network import csv_tokens
+from opinion_spark.staging import staged_lookup
 
 FOLLOW_LIMIT = 2000
 LANGUAGE = "ja"
@@ -91,6 +92,7 @@ def annotate_following(
     Keeps accounts below the follow limit that are listed or use the language. Tokens that are no
     ids are left out before positions are counted. One record per account is expected.
     """
+    listed = staged_lookup(listed.select("user_id", "value"))
     own = listed.select(F.col("user_id").alias("id"), F.col("value").alias("own"))
     kept = (
         net.where(F.col("id").isNotNull() & (F.col("friends_count") < follow_limit))
@@ -145,6 +147,7 @@ def neighbor_stats(follows: DataFrame, listed: DataFrame) -> DataFrame:
     Rows of unlisted accounts go first; the followee lookup is a left join with a unique right
     side, which adaptive execution splits at a followee that very many follow.
     """
+    listed = staged_lookup(listed.select("user_id", "value"))
     own = listed.select("user_id", F.col("value").alias("own"))
     values = listed.select(F.col("user_id").alias("followee"), "value")
     return (

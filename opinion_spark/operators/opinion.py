@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.text import from_base64, one_line, to_base64
+from opinion_spark.staging import staged_lookup
 
 
 def user_opinion(
@@ -33,7 +34,7 @@ def user_opinion(
     )
     votes = (
         user_items.select("user_id", item.alias("name"))
-        .join(opinions, "name")
+        .join(staged_lookup(opinions), "name")
         .groupBy("user_id")
         .agg(
             F.count_if(F.col("opinion") == 0).alias("zeros"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.urls import is_malformed
+from opinion_spark.staging import staged_lookup
 
 MAX_HOPS = 10
 
@@ -44,8 +45,10 @@ def resolve_redirects(
         table = table.join(dead, "src", "left_anti").unionByName(
             dead.select("src", F.col("src").alias("dst"))
         )
-    table = table.where(~is_malformed(F.col("src"))).select(
-        F.col("src").alias("_src"), F.col("dst").alias("_dst")
+    table = staged_lookup(
+        table.where(~is_malformed(F.col("src"))).select(
+            F.col("src").alias("_src"), F.col("dst").alias("_dst")
+        )
     )
     current = urls.withColumn("final", F.col("url"))
     for _ in range(max_hops - 2):

@@ -13,22 +13,26 @@ MIN_RESHARES = 100
 
 
 def retweet_edges(posts: DataFrame, th: int = 10) -> DataFrame:
-    """``(item, user_id)``: distinct users of each text that ``th`` or more users share.
+    """``(item, user_id, n)``: distinct users, and their number, of each text that ``th`` or more
+    users share.
 
     A reshare counts for the original text; a post that was reshared counts its author.
     """
     text = F.when(F.col("is_retweet"), F.col("retweeted_text")).when(
         F.col("retweet_count") > 0, F.col("text")
     )
-    shares = valid(posts).select(text.alias("item"), "user_id").dropna()
+    shares = valid(posts).select(text.alias("item"), "user_id")
+    shares = shares.where("item IS NOT NULL AND user_id IS NOT NULL")
     # Texts become base64 after the threshold, when they are fewer.
     kept = at_least(shares, "item", th)
-    return kept.select(to_base64(F.col("item")).alias("item"), "user_id")
+    return kept.select(to_base64(F.col("item")).alias("item"), "user_id", "n")
 
 
 def retweet_sets(posts: DataFrame, th: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
     """``retweet_edges`` as one list of users per text."""
-    return pack(retweet_edges(posts, th), "item", "user_id", "users", part_bytes)
+    return pack(
+        retweet_edges(posts, th), "item", "user_id", "users", part_bytes, unique=True
+    )
 
 
 def user_rt_freq(edges: DataFrame, th: int = MIN_RESHARES) -> DataFrame:
@@ -38,5 +42,7 @@ def user_rt_freq(edges: DataFrame, th: int = MIN_RESHARES) -> DataFrame:
 
 
 def user_rt_list(edges: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Texts per user, the inverse of ``retweet_sets``."""
-    return pack(edges, "user_id", "item", "items", part_bytes)
+    """Texts per user, the inverse of ``retweet_sets``; ``edges`` as from ``retweet_edges``."""
+    return pack(
+        edges.select("user_id", "item"), "user_id", "item", "items", part_bytes, unique=True
+    )

@@ -2,11 +2,13 @@
 
 RAW_POST = "key bigint, raw string"
 
+URL_ENTITIES = "array<struct<url:string,expanded_url:string>>"
+
 POST_JSON = (
     "id bigint, created_at string, text string, retweet_count bigint, "
     "user struct<id:bigint>, "
     "retweeted_status struct<id:bigint,text:string>, "
-    "entities struct<urls:array<struct<url:string,expanded_url:string>>>"
+    f"entities struct<urls:{URL_ENTITIES}>"
 )
 
 RAW_NETWORK = "profile string, csv string"

@@ -22,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def staged_lookup(df: DataFrame) -> DataFrame:
+    """A table with unique keys, written once before many rows look their key up in it.
+
+    An aggregate is already placed by its key, so a join on that key takes it without a shuffle of
+    its own, and adaptive execution then cannot split a hot key on the other side. Read back, the
+    table is shuffled like any other, or broadcast if its true size allows.
+    """
+    return stage(df, "lookup")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

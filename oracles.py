@@ -345,10 +345,10 @@ SELECT key, CAST(sum(value) AS BIGINT) AS value FROM (
   UNION ALL SELECT url, 1 FROM pages)
 GROUP BY 1""",
         "paired_url": f"""WITH {POSTS}, {URLS},
-lists AS (SELECT url AS item, list_sort(list(user_id)) AS users FROM urls
-  WHERE tweet_id IS NOT NULL GROUP BY url, event_type),
-best AS (SELECT item, max(users) AS users FROM lists GROUP BY item),
-edges AS (SELECT item, unnest(users) AS user_id FROM best), {_links(p.URL_JACCARD)} {PAIRS}""",
+twice AS (SELECT DISTINCT url FROM urls WHERE event_type = 'purchase'),
+edges AS (
+  SELECT url AS item, user_id FROM urls
+  WHERE event_type = 'purchase' OR url NOT IN (SELECT url FROM twice)), {_links(p.URL_JACCARD)} {PAIRS}""",
         "item_pairs": f"""WITH {_retweets(p.RT_USERS)}, {_links(p.RT_JACCARD)} {PAIRS}""",
         "jaccard_of_pairs":
             f"WITH {_retweets(p.RT_USERS)}, {_links(p.RT_JACCARD)} {ROUNDED}",
