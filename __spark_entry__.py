@@ -147,6 +147,11 @@ def _rt_edges(spark: SparkSession, d: str) -> DataFrame:
     return reshares.retweet_edges(_text_posts(spark, d), P.RT_USERS)
 
 
+def _rt_texts(spark: SparkSession, d: str) -> DataFrame:
+    posts = _text_posts(spark, d)
+    return reshares.with_texts(reshares.retweet_edges(posts, P.RT_USERS), posts)
+
+
 def _rt_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.item_pairs(_rt_edges(spark, d), P.RT_JACCARD)
 
@@ -242,14 +247,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             reshares.retweet_sets(_text_posts(s, d), P.RT_USERS)
         ),
         "user_rt_freq": lambda s, d: reshares.user_rt_freq(_rt_edges(s, d), P.USER_TEXTS),
-        "user_rt_list": lambda s, d: reshares.user_rt_list(_rt_edges(s, d)).select(
+        "user_rt_list": lambda s, d: reshares.user_rt_list(_rt_texts(s, d)).select(
             "user_id", "n", "part", F.array_join("items", ",").alias("items")
         ),
         "user_opinion": lambda s, d: opinion.user_opinion(
             _rt_edges(s, d), fx.rt_opinions(s, d)
         ),
         "user_opinion_base64": lambda s, d: opinion.user_opinion(
-            _rt_edges(s, d), fx.rt_opinions(s, d, encoded=True), key="base64"
+            _rt_texts(s, d), fx.rt_opinions(s, d, encoded=True), key="base64", digests=False
+        ),
+        "user_opinion_normalised": lambda s, d: opinion.user_opinion(
+            _rt_texts(s, d), fx.rt_opinions(s, d), digests=False, normalise=True
         ),
         "opinion_exposure": lambda s, d: _rounded(_exposure(s, d), "avg_opinion"),
         # follow network

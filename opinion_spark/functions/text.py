@@ -16,6 +16,11 @@ def contains_any(text: Column, terms: Iterable[str]) -> Column:
     return F.coalesce(reduce(or_, hits), F.lit(False)) if hits else F.lit(False)
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the UTF-8 bytes in hex."""
+    return F.sha2(text.cast("binary"), 256)
+
+
 def to_base64(text: Column) -> Column:
     """Base64 of the UTF-8 bytes on one line, whatever the session says about chunking."""
     return F.translate(F.base64(text.cast("binary")), "\r\n", "")

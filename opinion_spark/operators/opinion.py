@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinion_spark.functions.text import from_base64, one_line, to_base64
+from opinion_spark.functions.text import from_base64, one_line, text_digest, to_base64
 from opinion_spark.staging import staged_lookup
 
 
 def user_opinion(
-    user_items: DataFrame, rt_opinions: DataFrame, key: str = "text", normalise: bool = False
+    user_items: DataFrame,
+    rt_opinions: DataFrame,
+    key: str = "text",
+    digests: bool = True,
+    normalise: bool = False,
 ) -> DataFrame:
     """``(user_id, value)``: 0 or 1, the opinion most of a user's texts have; ties are dropped.
 
-    ``user_items`` has one ``(user_id, item)`` row per base64 text. The list names its texts in
-    plain (``key="text"``) or base64 form. ``normalise`` compares texts with white space and
-    commas as ``jaccard_links(..., decode=True)`` writes them.
+    ``user_items`` has one ``(user_id, item)`` row per text, the item being its digest, or its
+    base64 form with ``digests=False``. The list names its texts in plain (``key="text"``) or
+    base64 form. ``normalise``, for base64 items, compares texts with white space and commas as
+    ``jaccard_links(..., decode=True)`` writes them.
     """
     if key not in ("text", "base64"):
         raise ValueError("key must be 'text' or 'base64'")
-    listed = F.col("rt") if key == "text" or not normalise else from_base64(F.col("rt"))
+    if normalise and digests:
+        raise ValueError("normalise needs base64 items")
+    text = F.col("rt") if key == "text" else from_base64(F.col("rt"))
+    item = F.col("item")
     if normalise:
-        name, item = one_line(listed), one_line(from_base64(F.col("item")))
+        name, item = one_line(text), one_line(from_base64(item))
     else:
-        # Encode the short list rather than decode every row of the long one.
-        name, item = (to_base64(listed) if key == "text" else listed), F.col("item")
+        # Bring the short list to the form of the items rather than decode every item.
+        name = text_digest(text) if digests else to_base64(text)
     opinions = (
         rt_opinions.select(name.alias("name"), "opinion")
         .groupBy("name")

@@ -1,38 +1,53 @@
-"""Reshared texts and the users around them. A text is named by its base64 form."""
+"""Reshared texts and the users around them.
+
+A text is the key of these jobs. Its SHA-256 digest stands for it while rows are shuffled and
+counted; ``with_texts`` puts the base64 form that sinks expect in its place.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinion_spark.functions.text import to_base64
+from opinion_spark.functions.text import text_digest, to_base64
 from opinion_spark.operators.item_sets import PART_BYTES, at_least, pack
 from opinion_spark.sources.posts import valid
 
 MIN_RESHARES = 100
 
 
-def retweet_edges(posts: DataFrame, th: int = 10) -> DataFrame:
-    """``(item, user_id, n)``: distinct users, and their number, of each text that ``th`` or more
-    users share.
-
-    A reshare counts for the original text; a post that was reshared counts its author.
-    """
+def _shared(posts: DataFrame, *columns: Column) -> DataFrame:
+    """``text`` and ``columns`` of each share: a reshare counts for the original text, a post that
+    was reshared for its own."""
     text = F.when(F.col("is_retweet"), F.col("retweeted_text")).when(
         F.col("retweet_count") > 0, F.col("text")
     )
-    shares = valid(posts).select(text.alias("item"), "user_id")
-    shares = shares.where("item IS NOT NULL AND user_id IS NOT NULL")
-    # Texts become base64 after the threshold, when they are fewer.
-    kept = at_least(shares, "item", th)
-    return kept.select(to_base64(F.col("item")).alias("item"), "user_id", "n")
+    shares = valid(posts).where("user_id IS NOT NULL").withColumn("_text", text)
+    return shares.where("_text IS NOT NULL").select(F.col("_text").alias("text"), *columns)
+
+
+def retweet_edges(posts: DataFrame, th: int = 10) -> DataFrame:
+    """``(item, user_id, n)``: distinct users, and their number, of each text that ``th`` or more
+    users share. The item is the digest of the text."""
+    shares = _shared(posts, F.col("user_id"))
+    return at_least(shares.select(text_digest(F.col("text")).alias("item"), "user_id"), "item", th)
+
+
+def texts(posts: DataFrame) -> DataFrame:
+    """``(item, text)``: the text behind each digest."""
+    return _shared(posts).select(text_digest(F.col("text")).alias("item"), "text").distinct()
+
+
+def with_texts(named: DataFrame, posts: DataFrame) -> DataFrame:
+    """``named`` with the base64 text as ``item`` in place of its digest."""
+    columns = [to_base64(F.col("text")).alias(c) if c == "item" else c for c in named.columns]
+    return named.join(texts(posts), "item").select(*columns)
 
 
 def retweet_sets(posts: DataFrame, th: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``retweet_edges`` as one list of users per text."""
-    return pack(
-        retweet_edges(posts, th), "item", "user_id", "users", part_bytes, unique=True
-    )
+    """One list of users per base64 text that ``th`` or more users share."""
+    sets = pack(retweet_edges(posts, th), "item", "user_id", "users", part_bytes, unique=True)
+    return with_texts(sets, posts)
 
 
 def user_rt_freq(edges: DataFrame, th: int = MIN_RESHARES) -> DataFrame:
@@ -42,7 +57,6 @@ def user_rt_freq(edges: DataFrame, th: int = MIN_RESHARES) -> DataFrame:
 
 
 def user_rt_list(edges: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Texts per user, the inverse of ``retweet_sets``; ``edges`` as from ``retweet_edges``."""
-    return pack(
-        edges.select("user_id", "item"), "user_id", "item", "items", part_bytes, unique=True
-    )
+    """Texts per user, the inverse of the item sets; an ``(item, user_id)`` row occurs once."""
+    rows = edges.select("user_id", "item")
+    return pack(rows, "user_id", "item", "items", part_bytes, unique=True)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from opinion_spark.functions.text import one_line
 from opinion_spark.operators import counts, links, network, opinion, reshares, similarity
 
 
@@ -22,8 +24,19 @@ def link_network(
 
 
 def reshare_network(posts: DataFrame, th: int = 10, jaccard: float = 0.2) -> DataFrame:
-    """Links between texts that the same users reshare, with the texts in plain."""
-    return similarity.jaccard_links(reshares.retweet_edges(posts, th), jaccard, decode=True)
+    """Links between texts that the same users reshare, with the texts in plain.
+
+    The texts come in last, so only those with a link are looked up.
+    """
+    links = similarity.jaccard_links(reshares.retweet_edges(posts, th), jaccard)
+    texts = reshares.texts(posts)
+    named = links
+    for end in ("item1", "item2"):
+        named = named.join(
+            texts.select(F.col("item").alias(end), F.col("text").alias(f"_{end}")), end
+        )
+    first, second = F.least("_item1", "_item2"), F.greatest("_item1", "_item2")
+    return named.select(one_line(first).alias("item1"), one_line(second).alias("item2"), "jaccard")
 
 
 def opinion_exposure(

@@ -111,8 +111,8 @@ shares AS (
   FROM texts WHERE user_id IS NOT NULL),
 kept AS (
   SELECT text FROM shares WHERE text IS NOT NULL GROUP BY text HAVING count(*) >= {th}),
-edges AS (
-  SELECT base64(encode(text)) AS item, user_id FROM shares JOIN kept USING (text))"""
+edges AS (SELECT sha256(encode(text)) AS item, text, user_id FROM shares JOIN kept USING (text)),
+encoded AS (SELECT base64(encode(text)) AS item, user_id FROM edges)"""
 
 
 def _links(th: float) -> str:
@@ -214,12 +214,11 @@ MEAN = "round(CASE WHEN n_vocal > 0 THEN total / n_vocal ELSE 0.0 END, 9)"
 
 OPINIONS = """
 opinions AS (
-  SELECT base64(encode(text)) AS item, max(quality) AS opinion
-  FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+  SELECT text, max(quality) AS opinion FROM documents JOIN labels USING (doc_id) GROUP BY 1),
 user_opinion AS (
   SELECT user_id, CAST(CASE WHEN zeros > ones THEN 0 ELSE 1 END AS INTEGER) AS value FROM (
     SELECT user_id, count(*) FILTER (opinion = 0) AS zeros, count(*) FILTER (opinion = 1) AS ones
-    FROM edges JOIN opinions USING (item) GROUP BY user_id)
+    FROM edges JOIN opinions USING (text) GROUP BY user_id)
   WHERE zeros <> ones)"""
 
 
@@ -256,6 +255,10 @@ buzz AS (
   FROM plain WHERE n > {th} GROUP BY n)"""
 
 
+def _one_line(text: str) -> str:
+    return f"replace(regexp_replace({text}, '\\s+', ' ', 'g'), ',', '，')"
+
+
 def _title(html: str) -> str:
     title = f"regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1)"
     for entity, char in (
@@ -354,23 +357,33 @@ edges AS (
             f"WITH {_retweets(p.RT_USERS)}, {_links(p.RT_JACCARD)} {ROUNDED}",
         "jaccard_links": f"WITH {PART_EDGES}, {_links(p.PART_JACCARD)} {ROUNDED}",
         "jaccard_links_dec": f"""WITH {_retweets(p.RT_USERS)}, {_links(p.RT_JACCARD)},
+names AS (SELECT DISTINCT item, text FROM edges),
 plain AS (
-  SELECT regexp_replace(decode(from_base64(item1)), '\\s+', ' ', 'g') AS item1,
-         regexp_replace(decode(from_base64(item2)), '\\s+', ' ', 'g') AS item2, jaccard FROM links)
-SELECT replace(item1, ',', '，') AS item1, replace(item2, ',', '，') AS item2,
-       round(jaccard, 9) AS jaccard FROM plain""",
+  SELECT least(x.text, y.text) AS text1, greatest(x.text, y.text) AS text2, jaccard
+  FROM links JOIN names x ON x.item = item1 JOIN names y ON y.item = item2)
+SELECT {_one_line('text1')} AS item1, {_one_line('text2')} AS item2, round(jaccard, 9) AS jaccard
+FROM plain""",
         "link_network": f"""WITH RECURSIVE {_url_refer(p.URL_USERS)},
 edges AS (SELECT url AS item, user_id FROM url_refer), {_links(p.URL_JACCARD)} {ROUNDED}""",
-        "retweet_sets": f"WITH {_retweets(p.RT_USERS)} {_sets('edges')}",
+        "retweet_sets": f"WITH {_retweets(p.RT_USERS)} {_sets('encoded')}",
         "user_rt_freq": f"""WITH {_retweets(p.RT_USERS)}
 SELECT user_id, count(*) AS value FROM edges GROUP BY 1 HAVING count(*) >= {p.USER_TEXTS}""",
         "user_rt_list": f"""WITH {_retweets(p.RT_USERS)}
 SELECT user_id, count(*) AS n, CAST(0 AS INTEGER) AS part, {_csv('item')} AS items
-FROM edges GROUP BY 1""",
+FROM encoded GROUP BY 1""",
         "user_opinion":
             f"WITH {_retweets(p.RT_USERS)}, {OPINIONS} SELECT user_id, value FROM user_opinion",
         "user_opinion_base64":
             f"WITH {_retweets(p.RT_USERS)}, {OPINIONS} SELECT user_id, value FROM user_opinion",
+        "user_opinion_normalised": f"""WITH {_retweets(p.RT_USERS)},
+opinions AS (
+  SELECT {_one_line('text')} AS text, max(quality) AS opinion
+  FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+votes AS (
+  SELECT user_id, count(*) FILTER (opinion = 0) AS zeros, count(*) FILTER (opinion = 1) AS ones
+  FROM edges e JOIN opinions o ON o.text = {_one_line('e.text')} GROUP BY user_id)
+SELECT user_id, CAST(CASE WHEN zeros > ones THEN 0 ELSE 1 END AS INTEGER) AS value
+FROM votes WHERE zeros <> ones""",
         "opinion_exposure": f"""WITH {_retweets(p.RT_USERS)}, {OPINIONS}, {FOLLOWS},
 {_neighbours('user_opinion')}
 SELECT user_id, own AS opinion, {MEAN} AS avg_opinion, n_vocal FROM stats""",

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from opinion_spark.operators import network
 from opinion_spark.operators.opinion import user_opinion
@@ -124,17 +125,21 @@ def test_user_opinion(table):
     )
     plain = table([("a", 0), ("b", 1), ("c", 0), ("d", 2)], "rt string, opinion int")
     want = [(1, 0), (2, 1)]
-    assert rows(user_opinion(items, plain)) == want
+    assert rows(user_opinion(items, plain, digests=False)) == want
+    digests = items.withColumn("item", F.sha2(F.unbase64("item"), 256))
+    assert rows(user_opinion(digests, plain)) == want
     coded = table([(a, 0), (b, 1), (c, 0), (d, 2)], "rt string, opinion int")
-    assert rows(user_opinion(items, coded, key="base64")) == want
-    assert rows(user_opinion(items, plain, normalise=True)) == want
-    assert rows(user_opinion(items, coded, key="base64", normalise=True)) == want
+    assert rows(user_opinion(items, coded, key="base64", digests=False)) == want
+    assert rows(user_opinion(items, plain, digests=False, normalise=True)) == want
+    assert rows(user_opinion(items, coded, key="base64", digests=False, normalise=True)) == want
     with pytest.raises(ValueError):
         user_opinion(items, plain, key="other")
+    with pytest.raises(ValueError):
+        user_opinion(items, plain, normalise=True)
 
 
 def test_user_opinion_normalises_both_sides(table):
     items = table([(1, "eCwgCSB5")], "user_id bigint, item string")  # "x, \t y"
     listed = table([("x， y", 1)], "rt string, opinion int")
-    assert rows(user_opinion(items, listed)) == []
-    assert rows(user_opinion(items, listed, normalise=True)) == [(1, 1)]
+    assert rows(user_opinion(items, listed, digests=False)) == []
+    assert rows(user_opinion(items, listed, digests=False, normalise=True)) == [(1, 1)]

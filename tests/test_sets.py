@@ -77,11 +77,12 @@ def test_retweets(table):
     )
     sets = reshares.retweet_sets(posts, th=2)
     assert rows(sets, "item", "n", "users") == [("Ynll", 2, [1, 2]), ("aGVsbG8=", 3, [1, 2, 3])]
-    edges = reshares.retweet_edges(posts, th=2)
+    edges = reshares.with_texts(reshares.retweet_edges(posts, th=2), posts)
     assert rows(reshares.user_rt_freq(edges, 2)) == [(1, 2), (2, 2)]
     assert rows(reshares.user_rt_list(edges), "user_id", "items") == [
         (1, ["Ynll", "aGVsbG8="]),
         (2, ["Ynll", "aGVsbG8="]),
         (3, ["aGVsbG8="]),
     ]
-    assert rows(reshares.retweet_edges(posts, th=3), "item") == [("aGVsbG8=",)] * 3
+    top = reshares.retweet_edges(posts, th=3)
+    assert rows(reshares.with_texts(top, posts)) == [("aGVsbG8=", u, 3) for u in (1, 2, 3)]

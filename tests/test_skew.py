@@ -3,16 +3,18 @@
 import pytest
 from pyspark.sql import functions as F
 
+from opinion_spark.functions.text import text_digest
 from opinion_spark.operators import item_sets, links, network
 from opinion_spark.operators.opinion import user_opinion
 
 
 @pytest.fixture
 def small_partitions(conf):
+    conf("spark.sql.shuffle.partitions", "64")
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
-    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "128KB")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16KB")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "32KB")
     conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
 
 
@@ -57,11 +59,12 @@ def test_followee_lookup_splits(spark, small_partitions):
 
 
 def test_opinion_lookup_splits(spark, small_partitions):
-    items = skewed(spark, "item", "user_id").withColumn("item", F.col("item").cast("string"))
+    item = text_digest(F.col("item").cast("string"))
+    items = skewed(spark, "item", "user_id").withColumn("item", item)
     opinions = spark.range(0, 20_000).select(
         F.col("id").cast("string").alias("rt"), F.lit(1).alias("opinion")
     )
-    votes = user_opinion(items, opinions, key="base64").agg(F.count("*").alias("n"))
+    votes = user_opinion(items, opinions).agg(F.count("*").alias("n"))
     plan, rows = plan_after_run(votes)
     assert "skew=true" in plan
     assert rows[0].n == 300_000
