@@ -294,7 +294,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "degree_hist_by_opinion": lambda s, d: network.degree_hist_by_opinion(
             fx.accounts(s, d), _uo(s, d)
         ),
-        "degree_hist": lambda s, d: network.degree_hist(fx.accounts(s, d)),
+        "degree_hist": lambda s, d: network.degree_hist(
+            network.follower_counts(network.simplify_network(_net(s, d), 1 << 30))
+        ),
     }
 
 

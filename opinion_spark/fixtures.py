@@ -34,10 +34,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that comes as fewer tasks than there are cores, spread over all of them before
+    texts are joined to its rows. Tables of ordinary size stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _rows(df: DataFrame) -> Column:
     return df.agg(F.count("*").cast("bigint")).scalar()
 
 
+def _utc_ms(ts: Column) -> Column:
+    """Epoch ms of a time without zone, to the second as posts carry it, taken as UTC."""
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01")).cast("bigint")
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return (days * 86400 + seconds) * 1000
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     failed = F.col("event_type") == "error"
@@ -48,7 +62,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(failed & (F.col("event_id") % 2 == 1), 0).otherwise(author).alias("key"),
         failed.alias("failed"),
         author.alias("author"),
-        F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"),
+        "ts",
         (F.col("event_type") == "click").alias("is_retweet"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         (F.col("event_id") % 3).alias("shares"),
@@ -56,6 +70,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _spread(rows, "event_id")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = documents.select(F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
     shared = documents.select(F.col("doc_id").alias("k"), F.col("text").alias("shared_text"))
@@ -106,7 +121,7 @@ def posts(
         "key",
         F.when(parsed, F.col("event_id")).alias("tweet_id"),
         F.when(parsed, F.col("author")).alias("user_id"),
-        F.when(parsed, F.unix_millis("ts")).alias("created_ms"),
+        F.when(parsed, _utc_ms(F.col("ts"))).alias("created_ms"),
         F.when(parsed, F.col("shares")).alias("retweet_count"),
         F.col("is_retweet"),
         F.when(F.col("is_retweet"), F.col("k")).alias("retweeted_id"),

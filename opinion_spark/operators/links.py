@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinion_spark.functions.once import once
 from opinion_spark.functions.text import html_title
 from opinion_spark.functions.urls import trim_url
 from opinion_spark.operators.item_sets import PART_BYTES, pack
@@ -101,7 +102,7 @@ def topic_url_title(url_counts: DataFrame, pages: DataFrame, th: int = 10) -> Da
     counts once."""
     # The title is taken before the join, so the page bodies are not shuffled.
     titles = (
-        pages.select("url", html_title(F.col("html")).alias("title"))
+        pages.select("url", once(html_title(F.col("html"))).alias("title"))
         .where("title IS NOT NULL")
         .groupBy("url")
         .agg(F.max("title").alias("title"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinion_spark.functions.once import once
 from opinion_spark.functions.text import strict_long
 from opinion_spark.sources.network import csv_tokens
 from opinion_spark.staging import staged_lookup
@@ -49,8 +50,7 @@ def _cut_following(net: DataFrame) -> DataFrame:
     """``net`` with ``following``, the followee part of the CSV; protected accounts drop out, and
     so do records shorter than their counts say."""
     public = net.where("n_followers >= 0 AND n_following >= 0")
-    tokens = csv_tokens(F.col("csv"))
-    complete = public.withColumn("tokens", tokens).where(
+    complete = public.withColumn("tokens", once(csv_tokens(F.col("csv")))).where(
         F.size("tokens") >= 3 + F.col("n_followers") + F.col("n_following")
     )
     cut = F.slice("tokens", F.col("n_followers") + 4, F.col("n_following"))
@@ -101,7 +101,7 @@ def annotate_following(
     )
     ids = F.filter(F.transform(csv_tokens(F.col("csv")), strict_long), lambda x: x.isNotNull())
     parsed = (
-        kept.select("id", F.coalesce("own", F.lit(0)).alias("own"), ids.alias("t"))
+        kept.select("id", F.coalesce("own", F.lit(0)).alias("own"), once(ids).alias("t"))
         .where(F.size("t") >= 3)
         .select(
             "id",
@@ -203,6 +203,12 @@ def neighbor_opinion(follows: DataFrame, opinions: DataFrame) -> DataFrame:
     )
 
 
+def follower_counts(records: DataFrame) -> DataFrame:
+    """``(id, n_followers)`` of ``(id, csv)`` records without a profile."""
+    count = F.get(F.split("csv", ",", 3), F.lit(1))
+    return records.select("id", strict_long(count).try_cast("int").alias("n_followers"))
+
+
 def degree_hist_by_opinion(accounts: DataFrame, opinions: DataFrame) -> DataFrame:
     """Accounts per opinion and number of followers; unlisted accounts have opinion -1."""
     values = opinions.select(F.col("user_id").alias("id"), "value")

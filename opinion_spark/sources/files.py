@@ -18,15 +18,20 @@ WRITABLES = {
 
 PYTHON_TYPES = {"bigint": int, "int": int, "double": float, "string": str}
 
-MAX_TERMS = 10_000
+MAX_TERMS = 1_000
 
 
-def read_sequence(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Two-column table from SequenceFiles; ``path`` may be a folder or a comma-joined list."""
+def _paths(path: str | list[str]) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
+
+
+def read_sequence(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Two-column table from SequenceFiles or folders of them."""
     struct = T._parse_datatype_string(schema)
     kinds = [f.dataType.simpleString() for f in struct.fields]
     to_key, to_value = (PYTHON_TYPES[k] for k in kinds)
-    records = spark.sparkContext.sequenceFile(path, *(WRITABLES[k] for k in kinds))
+    where = ",".join(_paths(path))
+    records = spark.sparkContext.sequenceFile(where, *(WRITABLES[k] for k in kinds))
     return spark.createDataFrame(records.map(lambda r: (to_key(r[0]), to_value(r[1]))), struct)
 
 
@@ -40,10 +45,12 @@ def write_sequence(df: DataFrame, path: str) -> None:
     df.select(*as_text).rdd.map(tuple).saveAsSequenceFile(path)
 
 
-def read_records(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+def read_records(
+    spark: SparkSession, path: str | list[str], schema: str, fmt: str = "parquet"
+) -> DataFrame:
     """Records in one of the supported layouts: ``parquet``, ``sequence`` or ``tsv``."""
     if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(*_paths(path))
     if fmt == "sequence":
         return read_sequence(spark, path, schema)
     if fmt == "tsv":
@@ -61,7 +68,7 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: str, sep: str =
     """Lines with exactly the fields of ``schema``; other lines and bad numbers are left out."""
     fields = T._parse_datatype_string(schema).fields
     tokens = F.split("value", sep)
-    lines = spark.read.text(path).where(F.size(tokens) == len(fields))
+    lines = spark.read.text(_paths(path)).where(F.size(tokens) == len(fields))
     typed = lines.select(
         *[
             _typed(tokens[i], f.dataType.simpleString()).alias(f.name)
@@ -72,9 +79,15 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: str, sep: str =
 
 
 def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None) -> None:
-    """``key <tab> value`` lines, unquoted, in key order when ``order_by`` is given."""
+    """``key <tab> value`` lines, unquoted, lists as CSV, in key order with ``order_by``."""
     ordered = df.orderBy(*order_by) if order_by else df
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    as_text = [
+        F.array_join(F.col(c).cast("array<string>"), ",")
+        if kind.startswith("array")
+        else F.col(c).cast("string")
+        for c, kind in df.dtypes
+    ]
+    fields = [F.coalesce(c, F.lit("")) for c in as_text]
     ordered.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinion_spark.functions.once import once
 from opinion_spark.functions.times import created_ms
 from opinion_spark.schemas import POST_JSON, RAW_POST, URL_ENTITIES
 from opinion_spark.sources.files import read_records
 
 
-def read_posts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_posts(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
     """Raw ``(key, raw)`` records; the key is the author, 0 where loading failed."""
     return read_records(spark, path, RAW_POST, fmt)
 
@@ -18,10 +19,8 @@ def read_posts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 def parse_posts(raw: DataFrame) -> DataFrame:
     """Typed columns next to ``key`` and ``raw``. A record that fails to parse keeps its row,
     with a NULL ``tweet_id``."""
-    # Taken out by a generator, the JSON is parsed once. As a plain column, each filter and each
-    # field used later would parse it again.
-    parsed = raw.select("key", "raw", F.inline(F.array(F.from_json("raw", POST_JSON))))
-    return parsed.select(
+    parsed = raw.select("key", "raw", once(F.from_json("raw", POST_JSON)).alias("p"))
+    return parsed.select("key", "raw", "p.*").select(
         "key",
         "raw",
         F.col("id").alias("tweet_id"),

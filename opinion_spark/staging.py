@@ -12,10 +12,15 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a private one only on a single machine."""
-    path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    context = spark.sparkContext
+    path = (
+        spark.conf.get(CHECKPOINT_DIR, None)
+        or context.getConf().get(CHECKPOINT_DIR)
+        or context.getCheckpointDir()
+    )
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
     path = tempfile.mkdtemp(prefix="opinion-stage-")
     spark.conf.set(CHECKPOINT_DIR, path)

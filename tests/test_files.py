@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 
 from opinion_spark import schemas
 from opinion_spark.operators.counts import sum_by_key
+from opinion_spark.operators.similarity import jaccard_of_pairs
 from opinion_spark.sources import files
 from opinion_spark.sources.network import read_network
 from opinion_spark.sources.posts import read_posts
+from opinion_spark.sources.sets import read_item_pairs, read_item_sets, read_user_items
 from opinion_spark.staging import shared_dir, stage
 from util import rows
 
@@ -38,6 +40,8 @@ def test_parquet_and_several_paths(spark, table, tmp_path):
     for i in range(2):
         table([(i, "{}")], schemas.RAW_POST).write.parquet(str(tmp_path / "in" / f"d={i}"))
     assert rows(read_posts(spark, str(tmp_path / "in" / "d=*"))) == [(0, "{}"), (1, "{}")]
+    both = [str(tmp_path / "in" / f"d={i}") for i in range(2)]
+    assert rows(read_posts(spark, both)) == [(0, "{}"), (1, "{}")]
     with pytest.raises(ValueError):
         read_network(spark, "x", "avro")
 
@@ -62,6 +66,26 @@ def test_seq_to_text_chain(spark, table, tmp_path):
     assert [r.value for r in spark.read.text(target).collect()] == ["a\t4", "b\t2"]
 
 
+def test_list_readers(spark, tmp_path):
+    (tmp_path / "sets.tsv").write_text("u1\t3,1,3\nbad\nu2\t7,x\n")
+    assert rows(read_item_sets(spark, str(tmp_path / "sets.tsv"))) == [
+        ("u1", 1), ("u1", 3), ("u1", 3), ("u2", 7),
+    ]
+    (tmp_path / "users.tsv").write_text("5\ta,b\n")
+    assert rows(read_user_items(spark, str(tmp_path / "users.tsv"), "tsv")) == [(5, "a"), (5, "b")]
+    (tmp_path / "pairs.tsv").write_text("a,1,2,2\tb,2,3\nc,1\td,2\n")
+    pairs = read_item_pairs(spark, str(tmp_path / "pairs.tsv"))
+    assert rows(jaccard_of_pairs(pairs)) == [("a", "b", 1 / 3), ("c", "d", 0.0)]
+    assert rows(jaccard_of_pairs(pairs, 0.1)) == [("a", "b", 1 / 3)]
+
+
+def test_lists_are_written_as_csv(spark, table, tmp_path):
+    sets = table([("a", [1, 2]), ("b", [])], "item string, users array<bigint>")
+    files.write_tsv(sets, str(tmp_path / "sets"), order_by=["item"])
+    lines = [r.value for r in spark.read.text(str(tmp_path / "sets")).collect()]
+    assert lines == ["a\t1,2", "b\t"]
+
+
 def test_terms(spark, tmp_path, monkeypatch):
     path = tmp_path / "terms.txt"
     path.write_text("年金\n尖閣\n尖閣\n", encoding="utf-8")

@@ -99,6 +99,11 @@ def test_degrees(table, listed):
     assert rows(network.degree_hist(accounts)) == [(1, 0, 1), (1, 3, 3)]
 
 
+def test_follower_counts(table):
+    records = table([(1, "1,2,3,9,9"), (2, "2,-1,-1"), (3, "3"), (4, "4,x,1")], "id bigint, csv string")
+    assert rows(network.follower_counts(records)) == [(1, 2), (2, -1), (3, None), (4, None)]
+
+
 def test_annotate(net, listed):
     got = dict(rows(network.annotate_following(net, listed)))
     assert got == {

@@ -49,8 +49,10 @@ def test_parse_keeps_failures_with_null_id(table):
 
 def test_parse_reads_the_json_once(table):
     raw = table([(1, post(1))], RAW_POST)
-    plan = counts.user_tweet_count(parse_posts(raw))._jdf.queryExecution().optimizedPlan()
-    assert plan.toString().count("from_json") == 1
+    daily = counts.daily_freq(parse_posts(raw), 0, originals_only=True)
+    for df in (counts.user_tweet_count(parse_posts(raw)), daily):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1
 
 
 def test_counts(table):
