@@ -19,6 +19,7 @@ from opinion_spark.functions.text import to_base64
 from opinion_spark.functions.urls import trim_url
 from opinion_spark.operators.item_sets import pack
 from opinion_spark.schemas import URL_ENTITIES
+from opinion_spark.staging import stage
 
 KEYWORDS = ("sich", "dans", "für", "under", "ción", "idiot", "under")
 TOPICS = ("ción", "eau")
@@ -213,9 +214,10 @@ def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = public.select(F.col("c_custkey").alias("user_id"))
     edges = _follow_edges(spark, sf_dir)
     silent = ids.join(edges.select("user_id").distinct(), "user_id", "left_anti")
-    return edges.join(ids, "user_id", "left_semi").unionByName(
+    rows = edges.join(ids, "user_id", "left_semi").unionByName(
         silent.withColumn("followee", F.lit(None).cast("bigint"))
     )
+    return stage(rows, "follows")
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

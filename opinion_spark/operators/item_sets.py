@@ -20,11 +20,13 @@ ID_BYTES = 8
 def at_least(edges: DataFrame, item: str, th: int) -> DataFrame:
     """Distinct ``edges`` of items with ``th`` or more members, with their number as ``n``.
 
-    The members are counted with a map-side combine and only the counts meet the edges again.
+    The members are counted with a map-side combine and only the counts meet the edges again. The
+    result is written, so that a later step by the same key gets a shuffle of its own and a hot
+    item stays split here.
     """
     distinct = stage(edges.distinct(), "edges")
     sizes = distinct.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") >= th)
-    return distinct.join(staged_lookup(sizes), item)
+    return stage(distinct.join(staged_lookup(sizes), item), "kept")
 
 
 def pack(

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.text import text_digest
-from opinion_spark.operators import item_sets, links, network
+from opinion_spark.operators import item_sets, links, network, reshares
 from opinion_spark.operators.opinion import user_opinion
+from opinion_spark.staging import stage
 
 
 @pytest.fixture
@@ -30,12 +31,36 @@ def plan_after_run(df):
     return df._jdf.queryExecution().executedPlan().toString(), rows
 
 
-def test_threshold_join_splits(spark, small_partitions):
-    edges = skewed(spark, "item", "user_id")
-    kept = item_sets.at_least(edges, "item", 2).groupBy((F.col("user_id") % 7).alias("g")).count()
-    plan, rows = plan_after_run(kept)
+def test_threshold_join_splits(spark, small_partitions, monkeypatch):
+    plans = []
+
+    def run_instead(df, name):
+        if name != "kept":
+            return stage(df, name)
+        plans.append(plan_after_run(df.select(F.count("*").alias("n"))))
+        return df
+
+    monkeypatch.setattr(item_sets, "stage", run_instead)
+    item_sets.at_least(skewed(spark, "item", "user_id"), "item", 2)
+    plan, rows = plans[0]
     assert "skew=true" in plan
-    assert sum(r["count"] for r in rows) == 300_000
+    assert rows[0].n == 300_000
+
+
+def test_texts_of_hot_item_split(spark, small_partitions):
+    edges = skewed(spark, "item", "user_id").withColumn("text", F.col("item").cast("string"))
+    posts = edges.select(
+        F.col("user_id").alias("tweet_id"),
+        "user_id",
+        F.lit(True).alias("is_retweet"),
+        F.col("text").alias("retweeted_text"),
+        "text",
+        F.lit(0).alias("retweet_count"),
+    )
+    named = reshares.with_texts(reshares.retweet_edges(posts, th=2), posts)
+    plan, rows = plan_after_run(named.agg(F.count("*").alias("n")))
+    assert "skew=true" in plan
+    assert rows[0].n == 300_000
 
 
 def test_pack_splits(spark, small_partitions):
