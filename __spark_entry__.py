@@ -44,7 +44,7 @@ P = Params
 
 def entry(spark: SparkSession) -> DataFrame:
     """Which texts are reshared by the same users."""
-    posts = fx.posts(spark, "/root/testdata/sf0.001", texts=True)
+    posts = _shared_posts(spark, "/root/testdata/sf0.001")
     return chains.reshare_network(posts, th=2, jaccard=0.2)
 
 
@@ -56,6 +56,10 @@ def _text_posts(spark: SparkSession, d: str) -> DataFrame:
     return fx.posts(spark, d, texts=True)
 
 
+def _shared_posts(spark: SparkSession, d: str) -> DataFrame:
+    return fx.posts(spark, d, texts=True, reshared=True)
+
+
 def _url_posts(spark: SparkSession, d: str) -> DataFrame:
     return fx.posts(spark, d, urls=True)
 
@@ -144,11 +148,11 @@ def _paired_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rt_edges(spark: SparkSession, d: str) -> DataFrame:
-    return reshares.retweet_edges(_text_posts(spark, d), P.RT_USERS)
+    return reshares.retweet_edges(_shared_posts(spark, d), P.RT_USERS)
 
 
 def _rt_texts(spark: SparkSession, d: str) -> DataFrame:
-    posts = _text_posts(spark, d)
+    posts = _shared_posts(spark, d)
     return reshares.with_texts(reshares.retweet_edges(posts, P.RT_USERS), posts)
 
 
@@ -174,7 +178,7 @@ def _uo(spark: SparkSession, d: str) -> DataFrame:
 
 def _exposure(spark: SparkSession, d: str) -> DataFrame:
     return chains.opinion_exposure(
-        _text_posts(spark, d), fx.rt_opinions(spark, d), fx.follows(spark, d), P.RT_USERS
+        _shared_posts(spark, d), fx.rt_opinions(spark, d), fx.follows(spark, d), P.RT_USERS
     )
 
 
@@ -234,7 +238,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             similarity.jaccard_links(fx.part_sets(s, d), P.PART_JACCARD), "jaccard"
         ),
         "jaccard_links_dec": lambda s, d: _rounded(
-            chains.reshare_network(_text_posts(s, d), P.RT_USERS, P.RT_JACCARD), "jaccard"
+            chains.reshare_network(_shared_posts(s, d), P.RT_USERS, P.RT_JACCARD), "jaccard"
         ),
         "link_network": lambda s, d: _rounded(
             chains.link_network(
@@ -244,7 +248,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # reshares and opinions
         "retweet_sets": lambda s, d: _joined_users(
-            reshares.retweet_sets(_text_posts(s, d), P.RT_USERS)
+            reshares.retweet_sets(_shared_posts(s, d), P.RT_USERS)
         ),
         "user_rt_freq": lambda s, d: reshares.user_rt_freq(_rt_edges(s, d), P.USER_TEXTS),
         "user_rt_list": lambda s, d: reshares.user_rt_list(_rt_texts(s, d)).select(

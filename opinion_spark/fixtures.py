@@ -74,12 +74,14 @@ def _with_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _spread(rows, "event_id")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = documents.select(F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
+    own_id = F.col("event_id") % _rows(documents)
+    return rows.withColumn("own_id", own_id).join(own, "own_id", "left")
+
+
+def _with_reshared_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
     shared = documents.select(F.col("doc_id").alias("k"), F.col("text").alias("shared_text"))
-    return (
-        rows.withColumn("own_id", F.col("event_id") % _rows(documents))
-        .join(own, "own_id", "left")
-        .join(shared, "k", "left")
-    )
+    return rows.join(shared, "k", "left")
 
 
 def _with_urls(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +115,14 @@ def _links() -> Column:
 
 
 def posts(
-    spark: SparkSession, sf_dir: str, texts: bool = False, urls: bool = False
+    spark: SparkSession,
+    sf_dir: str,
+    texts: bool = False,
+    reshared: bool = False,
+    urls: bool = False,
 ) -> DataFrame:
-    """Posts as ``parse_posts`` returns them, without the raw JSON."""
+    """Posts as ``parse_posts`` returns them, without the raw JSON. Own texts, texts of reshared
+    posts and links are joined on request."""
     rows = _events(spark, sf_dir)
     parsed = ~F.col("failed")
     columns = [
@@ -129,10 +136,12 @@ def posts(
     ]
     if texts:
         rows = _with_texts(rows, spark, sf_dir)
-        columns += [
-            F.when(parsed, F.col("own_text")).alias("text"),
-            F.when(F.col("is_retweet"), F.col("shared_text")).alias("retweeted_text"),
-        ]
+        columns.append(F.when(parsed, F.col("own_text")).alias("text"))
+    if reshared:
+        rows = _with_reshared_texts(rows, spark, sf_dir)
+        columns.append(
+            F.when(F.col("is_retweet"), F.col("shared_text")).alias("retweeted_text")
+        )
     if urls:
         rows = _with_urls(rows, spark, sf_dir)
         columns.append(_links().alias("urls"))
@@ -141,7 +150,8 @@ def posts(
 
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same posts as raw ``(key, raw)`` JSON records."""
-    rows = _with_urls(_with_texts(_events(spark, sf_dir), spark, sf_dir), spark, sf_dir)
+    rows = _with_texts(_events(spark, sf_dir), spark, sf_dir)
+    rows = _with_urls(_with_reshared_texts(rows, spark, sf_dir), spark, sf_dir)
     reshared = F.when(
         F.col("is_retweet"),
         F.struct(F.col("k").alias("id"), F.col("shared_text").alias("text")),
