@@ -22,6 +22,13 @@ from opinion_spark.sources.files import side_list  # noqa: E402
 from opinion_spark.sources.network import parse_network  # noqa: E402
 from opinion_spark.sources.posts import linked_urls, parse_posts  # noqa: E402
 
+try:
+    from opinion_spark.llm import registry as llm  # noqa: E402
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith(("opinion_spark.llm", "corpus_pipeline")):
+        raise
+    llm = None
+
 
 class Params:
     """Thresholds of the registered queries, chosen so that each keeps some rows and drops some."""
@@ -184,6 +191,10 @@ def _exposure(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per job; each takes ``(spark, sf_dir)``."""
+    return _jobs() | (llm.QUERIES if llm else {})
+
+
+def _jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # counts and time
         "tweet_count": lambda s, d: counts.tweet_count(fx.raw_posts(s, d)),
@@ -306,4 +317,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The same queries as SQL over the driver tables."""
-    return oracles.sql(Params)
+    return oracles.sql(Params) | (llm.ORACLES if llm else {})
