@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import mixing
+from opinion_spark.llm import mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_secret_scan": secrets.secrets_sql("documents"),
     "op10_source_mixing": mixing.mixing_sql("documents"),
 }
