@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import mixing, secrets
+from opinion_spark.llm import decontaminate, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op4_secret_scan": secrets.secrets_sql("documents"),
+    "op8_decontamination": decontaminate.decontamination_sql("documents", "benchmark"),
     "op10_source_mixing": mixing.mixing_sql("documents"),
 }
