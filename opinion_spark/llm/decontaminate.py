@@ -188,12 +188,12 @@ FOUND = T.StructType(
 
 def _pass(found: DataFrame, text: str, block: Block, first: bool, last: bool, keep: list[str]) -> DataFrame:
     """Adds the hits of one block to ``n_words``, ``runs`` and ``items``."""
-    shared = found.sparkSession.sparkContext.broadcast(block)
+    shared = found.sparkSession.sparkContext.broadcast(vars(block))
     kept = keep if last or text in keep else [*keep, text]
     fields = [found.schema[c] for c in kept]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = Block(**shared.value)
         for batch in batches:
             names = batch.schema.names
             before = [(b"", [])] * batch.num_rows
