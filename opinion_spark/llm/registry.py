@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import decontaminate, mixing, secrets
+from opinion_spark.llm import decontaminate, mixing, ngram_join, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op10_source_mixing": mixing.op10_source_mixing,
