@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import decontaminate, mixing, ngram_join, secrets
+from opinion_spark.llm import decontaminate, mixing, ngram_join, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
