@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import decontaminate, mixing, ngram_join, secrets, toxicity
+from opinion_spark.llm import decontaminate, mixing, ngram_join, secrets, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,3 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
+
+
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of jobs that are over.
+
+    Spark deletes them once the driver's JVM collects the plans that named them, which can take
+    longer than the disk lasts.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
