@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import decontaminate, mixing, ngram_join, secrets, suffixes, toxicity
+from opinion_spark.llm import decontaminate, mixing, ngram_join, secrets, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_warc": warc.op5_warc,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_secret_scan": secrets.secrets_sql("documents"),
+    "op5_warc": warc.warc_sql("pages"),
     "op8_decontamination": decontaminate.decontamination_sql("documents", "benchmark"),
     "op10_source_mixing": mixing.mixing_sql("documents"),
 }
