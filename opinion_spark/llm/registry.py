@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import decontaminate, mixing, ngram_join, secrets, suffixes, toxicity, warc
+from opinion_spark.llm import decontaminate, licenses, mixing, ngram_join, secrets, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_license_scan": licenses.op2_license_scan,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_warc": warc.op5_warc,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": licenses.licenses_sql("documents"),
     "op4_secret_scan": secrets.secrets_sql("documents"),
     "op5_warc": warc.warc_sql("pages"),
     "op8_decontamination": decontaminate.decontamination_sql("documents", "benchmark"),
