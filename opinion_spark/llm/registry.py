@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import decontaminate, licenses, mixing, ngram_join, secrets, suffixes, toxicity, warc
+from opinion_spark.llm import decontaminate, licenses, mixing, ngram_join, search, secrets, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_bm25_search": search.op3_bm25_search,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_warc": warc.op5_warc,
     "op7_toxicity": toxicity.op7_toxicity,
