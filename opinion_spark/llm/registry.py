@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import decontaminate, licenses, mixing, ngram_join, search, secrets, suffixes, toxicity, warc
+import corpus_pipeline
+from opinion_spark.llm import decontaminate, licenses, mixing, ngram_join, quotes, search, secrets, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -14,10 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bm25_search": search.op3_bm25_search,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_warc": warc.op5_warc,
+    "op6_quotation_linking": quotes.op6_quotation_linking,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_source_mixing": mixing.op10_source_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
