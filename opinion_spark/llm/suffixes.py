@@ -32,7 +32,7 @@ from opinion_spark.llm.tables import documents, release
 from opinion_spark.llm.words import _BYTE, _powers_to, mix, texts
 from opinion_spark.staging import drop_staged, stage, staged_lookup
 
-LENGTH, KEY = 50, 24
+LENGTH, KEY = 50, 20
 #: One document in so many is looked at for keys with very many runs; most keys that are spread.
 SAMPLE, MOST_HOT, HOT_RUNS, SALTS = 64, 10_000, 50, 64
 #: Rows of one key that are held before the rest of them is judged apart.

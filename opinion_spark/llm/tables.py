@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,9 @@ def release(spark: SparkSession) -> None:
     """Free the shuffle files of jobs that are over.
 
     Spark deletes them once the driver's JVM collects the plans that named them, which can take
-    longer than the disk lasts.
+    longer than the disk lasts. The first round lets go of the plans, the second of their shuffles.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
