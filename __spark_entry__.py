@@ -215,6 +215,9 @@ def _jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "keyword_filter": lambda s, d: keywords.keyword_filter(
             _text_posts(s, d), fx.KEYWORDS
         ).select("key", "tweet_id", "text"),
+        "keyword_filter_by_table": lambda s, d: keywords.keyword_filter_by_table(
+            _text_posts(s, d), fx.term_table(s, d)
+        ).select("key", "tweet_id", "text"),
         "term_buzz": lambda s, d: keywords.term_buzz(_text_posts(s, d), fx.BUZZ_TERMS),
         "url_count": _url_counts,
         "url_freq": lambda s, d: counts.histogram(_url_counts(s, d)),
@@ -289,7 +292,7 @@ def _jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "simplify_network": lambda s, d: network.simplify_network(_net(s, d), P.FOLLOW_LIMIT),
         "simplify_all": lambda s, d: network.simplify_all(_net(s, d), P.FOLLOW_LIMIT),
         "follow_rows": lambda s, d: network.follow_rows(
-            network.simplify_all(_net(s, d), follow_limit=1 << 30)
+            network.simplify_all(_net(s, d), follow_limit=None)
         ),
         "annotate_following": lambda s, d: network.annotate_following(
             _net(s, d), _uf(s, d), follow_limit=P.FOLLOW_LIMIT
@@ -310,7 +313,7 @@ def _jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             fx.accounts(s, d), _uo(s, d)
         ),
         "degree_hist": lambda s, d: network.degree_hist(
-            network.follower_counts(network.simplify_network(_net(s, d), 1 << 30))
+            network.follower_counts(network.simplify_network(_net(s, d), None))
         ),
     }
 

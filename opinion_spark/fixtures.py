@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from opinion_spark.functions.text import to_base64
 from opinion_spark.functions.urls import trim_url
-from opinion_spark.operators.item_sets import pack
 from opinion_spark.schemas import URL_ENTITIES
 from opinion_spark.staging import stage
 
@@ -29,19 +28,13 @@ BUZZ_TERMS = ("that", "sich", "dans", "für", "ción", "eau", "idiot", "scum", "
 ANCHOR_MS = 1_706_281_200_000
 
 UF_ORDERS = 10
+TERM_LENGTH = 9
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """A table that comes as fewer tasks than there are cores, spread over all of them before
-    texts are joined to its rows. Tables of ordinary size stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def _rows(df: DataFrame) -> Column:
     return df.agg(F.count("*").cast("bigint")).scalar()
 
@@ -71,7 +64,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spread(rows, "event_id")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = documents.select(F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
     own_id = F.col("event_id") % _rows(documents)
@@ -114,6 +106,13 @@ def _links() -> Column:
     )
 
 
+def term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(term)``: a list of terms as a table, the long words of the benchmark texts."""
+    texts = table(spark, sf_dir, "benchmark")
+    words = texts.select(F.explode(F.split("text", " ")).alias("term"))
+    return words.where(F.length("term") >= TERM_LENGTH).distinct()
+
+
 def posts(
     spark: SparkSession,
     sf_dir: str,
@@ -243,15 +242,16 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw ``(profile, csv)`` records. A list too long for a row goes on in a further record."""
+    """Raw ``(profile, csv)`` records, one per account whatever its size, as a crawl delivers them."""
     edges = _follow_edges(spark, sf_dir)
-    following = pack(edges, "user_id", "followee", "following", unique=True).select(
-        F.col("user_id").alias("id"), "part", "following"
-    )
-    followers = pack(edges, "followee", "user_id", "followers", unique=True).select(
-        F.col("followee").alias("id"), "part", "followers"
-    )
-    lists = following.join(followers, ["id", "part"], "full")
+
+    def lists_of(key: str, value: str, name: str) -> DataFrame:
+        listed = edges.groupBy(F.col(key).alias("id")).agg(F.collect_list(value).alias(name))
+        return listed.select("id", F.sort_array(name).alias(name))
+
+    following = lists_of("user_id", "followee", "following")
+    followers = lists_of("followee", "user_id", "followers")
+    lists = following.join(followers, "id", "full")
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), "c_nationkey", "c_acctbal"
     )

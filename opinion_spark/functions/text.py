@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as html_names
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -41,21 +42,19 @@ def strict_long(token: Column) -> Column:
     return F.when(token.rlike(r"^[+-]?[0-9]+$"), token.try_cast("bigint"))
 
 
-# The named entities that page titles use.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&nbsp;": " ",
-    "&amp;": "&",
-}
+def unescaped(text: Column) -> Column:
+    """HTML entities as characters, all that the standard names; batches go through Python."""
+
+    @F.pandas_udf("string")
+    def unescape(values):
+        return values.map(html_names.unescape, na_action="ignore")
+
+    return unescape(text)
 
 
 def html_title(html: Column) -> Column:
     """Text of the first title element, NULL when the page has none."""
     title = F.regexp_substr(html, F.lit(r"(?is)<title[^>]*>.*?</title>"))
     title = F.regexp_replace(title, r"(?is)^<title[^>]*>|</title>$", "")
-    for entity, char in ENTITIES.items():
-        title = F.replace(title, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(title, r"\s+", " "))
+    # a no-break space counts as white space, as a blank does
+    return F.trim(F.regexp_replace(unescaped(title), r"[\s\x{A0}]+", " "))

@@ -8,11 +8,12 @@ well and counts in the denominator.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.once import once
 from opinion_spark.functions.text import strict_long
+from opinion_spark.sources.files import side_list
 from opinion_spark.sources.network import csv_tokens
 from opinion_spark.staging import staged_lookup
 
@@ -21,26 +22,31 @@ LANGUAGE = "ja"
 UNLISTED = -1
 
 
+def _below(follow_limit: int | None) -> Column:
+    """Accounts that follow fewer than ``follow_limit``; all of them without a limit."""
+    return F.lit(True) if follow_limit is None else F.col("friends_count") < follow_limit
+
+
 def filter_network_by_profile(
-    net: DataFrame, lang: str = LANGUAGE, follow_limit: int = FOLLOW_LIMIT
+    net: DataFrame, lang: str = LANGUAGE, follow_limit: int | None = FOLLOW_LIMIT
 ) -> DataFrame:
     """Records of accounts in one language that follow fewer than ``follow_limit``."""
     same_language = F.lower("lang") == lang.lower()
     return net.where(
-        F.col("id").isNotNull() & same_language & (F.col("friends_count") < follow_limit)
+        F.col("id").isNotNull() & same_language & _below(follow_limit)
     )
 
 
 def filter_network_by_list(
-    net: DataFrame, listed: DataFrame, follow_limit: int = FOLLOW_LIMIT
+    net: DataFrame, listed: DataFrame, follow_limit: int | None = FOLLOW_LIMIT
 ) -> DataFrame:
     """Records of listed accounts that follow fewer than ``follow_limit``."""
     ids = listed.select(F.col("user_id").alias("id"))
-    return net.where(F.col("friends_count") < follow_limit).join(ids, "id", "left_semi")
+    return net.where(_below(follow_limit)).join(ids, "id", "left_semi")
 
 
 def drop_profile_and_filter(
-    net: DataFrame, listed: DataFrame, follow_limit: int = FOLLOW_LIMIT
+    net: DataFrame, listed: DataFrame, follow_limit: int | None = FOLLOW_LIMIT
 ) -> DataFrame:
     """``filter_network_by_list`` keyed by account id, without the profile."""
     return filter_network_by_list(net, listed, follow_limit).select("id", "csv")
@@ -62,15 +68,15 @@ def following_only(net: DataFrame) -> DataFrame:
     return _cut_following(net).select("profile", "following")
 
 
-def simplify_network(net: DataFrame, follow_limit: int = FOLLOW_LIMIT) -> DataFrame:
+def simplify_network(net: DataFrame, follow_limit: int | None = FOLLOW_LIMIT) -> DataFrame:
     """``(id, csv)`` of accounts that follow fewer than ``follow_limit``."""
-    kept = net.where(F.col("id").isNotNull() & (F.col("friends_count") < follow_limit))
+    kept = net.where(F.col("id").isNotNull() & _below(follow_limit))
     return kept.select("id", "csv")
 
 
-def simplify_all(net: DataFrame, follow_limit: int = FOLLOW_LIMIT) -> DataFrame:
+def simplify_all(net: DataFrame, follow_limit: int | None = FOLLOW_LIMIT) -> DataFrame:
     """``(id, following)``: both of the above."""
-    kept = net.where(F.col("id").isNotNull() & (F.col("friends_count") < follow_limit))
+    kept = net.where(F.col("id").isNotNull() & _below(follow_limit))
     return _cut_following(kept).select("id", "following")
 
 
@@ -87,24 +93,25 @@ def annotate_following(
     lang: str = LANGUAGE,
     follow_limit: int = FOLLOW_LIMIT,
 ) -> DataFrame:
-    """``(id, csv)`` with each account's value (0 if unlisted) behind the id and the followees.
+    """``(profile, csv)`` with each account's value (0 if unlisted) behind the id and the followees.
 
     Keeps accounts below the follow limit that are listed or use the language. Tokens that are no
     ids are left out before positions are counted. One record per account is expected.
     """
-    listed = staged_lookup(listed.select("user_id", "value"))
+    listed = staged_lookup(side_list(listed))
     own = listed.select(F.col("user_id").alias("id"), F.col("value").alias("own"))
     kept = (
-        net.where(F.col("id").isNotNull() & (F.col("friends_count") < follow_limit))
+        net.where(F.col("id").isNotNull() & _below(follow_limit))
         .join(own, "id", "left")
         .where((F.lower("lang") == lang.lower()) | F.col("own").isNotNull())
     )
     ids = F.filter(F.transform(csv_tokens(F.col("csv")), strict_long), lambda x: x.isNotNull())
     parsed = (
-        kept.select("id", F.coalesce("own", F.lit(0)).alias("own"), once(ids).alias("t"))
+        kept.select("id", "profile", F.coalesce("own", F.lit(0)).alias("own"), once(ids).alias("t"))
         .where(F.size("t") >= 3)
         .select(
             "id",
+            "profile",
             "own",
             F.get("t", 0).alias("self"),
             F.get("t", 1).alias("followed"),
@@ -137,7 +144,7 @@ def annotate_following(
         F.array_join(F.transform(followers, lambda x: x.cast("string")), ","), F.lit("")
     )
     return parsed.join(annotated, "id", "left").select(
-        "id", F.concat_ws(",", head, followers_csv, "following").alias("csv")
+        "profile", F.concat_ws(",", head, followers_csv, "following").alias("csv")
     )
 
 
@@ -147,7 +154,7 @@ def neighbor_stats(follows: DataFrame, listed: DataFrame) -> DataFrame:
     Rows of unlisted accounts go first; the followee lookup is a left join with a unique right
     side, which adaptive execution splits at a followee that very many follow.
     """
-    listed = staged_lookup(listed.select("user_id", "value"))
+    listed = staged_lookup(side_list(listed))
     own = listed.select("user_id", F.col("value").alias("own"))
     values = listed.select(F.col("user_id").alias("followee"), "value")
     return (

@@ -35,10 +35,10 @@ def user_opinion(
         # Bring the short list to the form of the items rather than decode every item.
         name = text_digest(text) if digests else to_base64(text)
     opinions = (
-        rt_opinions.select(name.alias("name"), "opinion")
+        rt_opinions.where(F.col("opinion").isin(0, 1))
+        .select(name.alias("name"), "opinion")
         .groupBy("name")
         .agg(F.max("opinion").alias("opinion"))
-        .where(F.col("opinion").isin(0, 1))
     )
     votes = (
         user_items.select("user_id", item.alias("name"))

@@ -1,7 +1,8 @@
 """Short URLs to the pages they lead to, from a ``(src, dst)`` table of observed redirects.
 
-Each hop is one equi-join with ``redirects`` on its unique ``src``. Many URLs may lead to one
-page; that skew is on the left of a left join, where adaptive execution splits it.
+The table is joined with itself, which doubles the hops it spans each time; the URLs are joined once,
+with the table that spans all hops. Many URLs may lead to one page; that skew is on the left of a left
+join, where adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,27 @@ def redirect_table(redirects: DataFrame) -> DataFrame:
     )
 
 
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Where ``first`` leads if ``second`` follows; an end stays where it is."""
+    further = second.select(F.col("_src").alias("_dst"), F.col("_dst").alias("_next"))
+    joined = first.join(further, "_dst", "left")
+    return staged_lookup(joined.select("_src", F.coalesce("_next", "_dst").alias("_dst")))
+
+
+def _after(table: DataFrame, hops: int) -> DataFrame:
+    """``(_src, _dst)`` after ``hops`` hops, by doubling."""
+    if hops < 1:
+        return table.select("_src", F.col("_src").alias("_dst"))
+    reached, power = None, table
+    while hops:
+        if hops & 1:
+            reached = power if reached is None else _then(reached, power)
+        hops >>= 1
+        if hops:
+            power = _then(power, power)
+    return reached
+
+
 def resolve_redirects(
     urls: DataFrame,
     redirects: DataFrame,
@@ -50,15 +72,12 @@ def resolve_redirects(
             F.col("src").alias("_src"), F.col("dst").alias("_dst")
         )
     )
-    current = urls.withColumn("final", F.col("url"))
-    for _ in range(max_hops - 2):
-        current = (
-            current.join(table, F.col("final") == F.col("_src"), "left")
-            .withColumn("final", F.coalesce("_dst", "final"))
-            .drop("_src", "_dst")
-        )
-    ends = current.join(table, F.col("final") == F.col("_src"), "left")
-    unresolved = F.col("_src").isNotNull()
+    goes_on = table.select(F.col("_src").alias("_dst"), F.lit(True).alias("_on"))
+    reached = staged_lookup(_after(table, max_hops - 2).join(goes_on, "_dst", "left"))
+    ends = urls.join(reached, F.col("url") == F.col("_src"), "left").withColumn(
+        "final", F.coalesce("_dst", "url")
+    )
+    unresolved = F.coalesce("_on", F.lit(False))
     malformed = ~unresolved & is_malformed(F.col("final"))
     if on_malformed == "drop":
         ends = ends.where(~malformed)
@@ -67,7 +86,7 @@ def resolve_redirects(
         keep_start = unresolved | malformed
     return ends.withColumn(
         "final", F.when(keep_start, F.col("url")).otherwise(F.col("final"))
-    ).drop("_src", "_dst")
+    ).drop("_src", "_dst", "_on")
 
 
 def expand_once(

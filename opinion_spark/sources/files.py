@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +20,6 @@ WRITABLES = {
 
 PYTHON_TYPES = {"bigint": int, "int": int, "double": float, "string": str}
 
-MAX_TERMS = 1_000
-
 
 def _paths(path: str | list[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
@@ -67,7 +67,7 @@ def _typed(token: Column, kind: str) -> Column:
 def read_tsv(spark: SparkSession, path: str | list[str], schema: str, sep: str = "\t") -> DataFrame:
     """Lines with exactly the fields of ``schema``; other lines and bad numbers are left out."""
     fields = T._parse_datatype_string(schema).fields
-    tokens = F.split("value", sep)
+    tokens = F.split("value", re.escape(sep))
     lines = spark.read.text(_paths(path)).where(F.size(tokens) == len(fields))
     typed = lines.select(
         *[
@@ -91,12 +91,9 @@ def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None) -> No
     ordered.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
 
 
-def read_terms(spark: SparkSession, path: str) -> list[str]:
-    """Keyword file, one term per line. It becomes part of the query text, so it must stay short."""
-    rows = spark.read.text(path).take(MAX_TERMS + 1)
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms in {path}")
-    return [r.value for r in rows]
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """``(term)``: keyword file, one term per line."""
+    return spark.read.text(path).select(F.col("value").alias("term"))
 
 
 def side_list(pairs: DataFrame) -> DataFrame:

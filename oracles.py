@@ -119,17 +119,14 @@ def _links(th: float) -> str:
     """CTEs that end in links(item1, item2, jaccard) for edges(item, user_id)."""
     return f"""
 e AS (SELECT DISTINCT item, user_id FROM edges),
-sizes AS (
-  SELECT item, count(*) AS n, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS members
-  FROM e GROUP BY item),
-reps AS (SELECT item, n, min(item) OVER (PARTITION BY members) AS rep FROM sizes),
+sizes AS (SELECT item, count(*) AS n FROM e GROUP BY item),
 common AS (
   SELECT x.item AS item1, y.item AS item2, count(*) AS c
   FROM e x JOIN e y ON x.user_id = y.user_id AND x.item < y.item GROUP BY ALL),
 links AS (
   SELECT item1, item2, c / (r1.n + r2.n - c) AS jaccard
-  FROM common JOIN reps r1 ON r1.item = item1 JOIN reps r2 ON r2.item = item2
-  WHERE c / (r1.n + r2.n - c) >= {th} AND r1.rep = item1 AND r2.rep IN (item1, item2))"""
+  FROM common JOIN sizes r1 ON r1.item = item1 JOIN sizes r2 ON r2.item = item2
+  WHERE c / (r1.n + r2.n - c) >= {th})"""
 
 
 PAIRS = """
@@ -306,6 +303,14 @@ SELECT n AS value, count(*) AS freq FROM c GROUP BY 1""",
         "keyword_filter": f"""WITH {POSTS}, {TEXTS}
 SELECT key, tweet_id, text FROM texts
 WHERE tweet_id IS NOT NULL AND key <> 0 AND {_any('text', fx.KEYWORDS)}""",
+        "keyword_filter_by_table": f"""WITH {POSTS}, {TEXTS},
+terms AS (
+  SELECT DISTINCT term FROM (SELECT unnest(string_split(text, ' ')) AS term FROM benchmark)
+  WHERE length(term) >= {fx.TERM_LENGTH}),
+named AS (
+  SELECT DISTINCT text FROM (SELECT DISTINCT text FROM texts) JOIN terms ON contains(text, term))
+SELECT key, tweet_id, text FROM texts SEMI JOIN named USING (text)
+WHERE tweet_id IS NOT NULL AND key <> 0""",
         "term_buzz": f"WITH {POSTS}, {TEXTS} " + " UNION ALL ".join(
             f"SELECT '{t}' AS term, count(*) AS n FROM texts WHERE contains(text, '{t}') "
             "HAVING count(*) > 0"
@@ -406,7 +411,7 @@ marked AS (
   SELECT fe.user_id AS id,
          string_agg(followee || ';' || coalesce(value, 0), ',' ORDER BY followee) AS ids
   FROM fe LEFT JOIN uf ON uf.user_id = followee GROUP BY 1)
-SELECT n.id,
+SELECT profile,
        CASE WHEN protected THEN n.id || ' ' || coalesce(value, 0) || ',-1,-1'
             WHEN n_following = 0
             THEN n.id || ' ' || coalesce(value, 0) || ',' || n_followers || ',0'

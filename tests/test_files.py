@@ -86,13 +86,16 @@ def test_lists_are_written_as_csv(spark, table, tmp_path):
     assert lines == ["a\t1,2", "b\t"]
 
 
-def test_terms(spark, tmp_path, monkeypatch):
+def test_terms(spark, tmp_path):
     path = tmp_path / "terms.txt"
     path.write_text("年金\n尖閣\n尖閣\n", encoding="utf-8")
-    assert files.read_terms(spark, str(path)) == ["年金", "尖閣", "尖閣"]
-    monkeypatch.setattr(files, "MAX_TERMS", 2)
-    with pytest.raises(ValueError):
-        files.read_terms(spark, str(path))
+    assert [r.term for r in files.read_terms(spark, str(path)).collect()] == ["年金", "尖閣", "尖閣"]
+
+
+def test_separators_are_no_patterns(spark, tmp_path):
+    (tmp_path / "bars.txt").write_text("a|1\nb|x\n", encoding="utf-8")
+    read = files.read_tsv(spark, str(tmp_path / "bars.txt"), "name string, n bigint", sep="|")
+    assert [tuple(r) for r in read.collect()] == [("a", 1)]
 
 
 def test_stage_writes_to_the_shared_folder(spark):

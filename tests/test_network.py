@@ -105,7 +105,8 @@ def test_follower_counts(table):
 
 
 def test_annotate(net, listed):
-    got = dict(rows(network.annotate_following(net, listed)))
+    annotated = network.annotate_following(net, listed)
+    got = {json.loads(r.profile)["id"]: r.csv for r in annotated.collect()}
     assert got == {
         1: "1 5,2,3,11,12,2;7,3;1,4;0",
         2: "2 7,0,1,1;5",
