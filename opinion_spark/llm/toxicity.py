@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinion_spark.llm.tables import documents, table
-from opinion_spark.llm.words import _BYTE, LETTERS, _powers_to, lower, mix, pieces, spans, texts
+from opinion_spark.llm.words import BYTE_HASH, LETTERS, lower, mix, pieces, powers_to, spans, texts
 
 #: Most documents of one label to learn from, and most bytes of one of them.
 TRAIN_DOCS, TRAIN_BYTES = 4_000, 200_000
@@ -59,9 +59,9 @@ def read_words(values: list[bytes]) -> Words:
     offsets = np.cumsum([0] + [len(v) + 1 for v in values])
     starts, ends = spans(data, LETTERS)
     doc = np.searchsorted(offsets, starts, side="right") - 1
-    power, inverse = _powers_to(len(data) + 1)
+    power, inverse = powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(BYTE_HASH[data] * power[: len(data)], out=sums[1:])
     length = ends - starts
 
     def hashed(low: np.ndarray, high: np.ndarray, kind: int) -> np.ndarray:
@@ -150,14 +150,18 @@ def document_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), most, np.log1p(total), total / np.maximum(count, 1)], axis=1)
 
 
-def _evidence(words: Words, toxic: np.ndarray) -> np.ndarray:
+def _evidence(values: list[bytes], toxic: np.ndarray) -> np.ndarray:
     """Whether each feature marks toxic documents beyond chance."""
     df = np.zeros((2, DIMENSIONS))
-    for row in words.features:
-        pairs = np.unique(words.doc.astype(np.int64) * DIMENSIONS + row)
-        label = toxic[pairs // DIMENSIONS]
-        for k in (0, 1):
-            df[k] += np.bincount(pairs[label == k] % DIMENSIONS, minlength=DIMENSIONS)
+    seen = 0
+    for part in _batches(values):
+        words = read_words(part)
+        for row in words.features:
+            pairs = np.unique(words.doc.astype(np.int64) * DIMENSIONS + row)
+            label = toxic[seen + pairs // DIMENSIONS]
+            for k in (0, 1):
+                df[k] += np.bincount(pairs[label == k] % DIMENSIONS, minlength=DIMENSIONS)
+        seen += len(part)
     share = toxic.mean()
     total = df.sum(axis=0)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -176,7 +180,7 @@ def _learn_chain(values: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model
     weights, squares = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2)
     small, small_squares = np.array([-4.0, 0, 0, 0, 0]), np.full(5, 1e-2)
     if 0 < toxic.sum() < len(toxic):
-        marks = _evidence(read_words(values), toxic)
+        marks = _evidence(values, toxic)
     if not marks.any():
         return Model(weights.astype(np.float32), float(small[0]), np.zeros((2, 2)), np.zeros(4))
     rng = np.random.default_rng(seed)

@@ -28,20 +28,35 @@ LETTERS = _table({*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)})
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BYTE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_HASH = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            factors = np.full(n, base, np.uint64)
-            factors[0] = 1
-            _powers[k] = np.cumprod(factors, dtype=np.uint64)
-    return _powers
+class _Powers:
+    """Powers of the base and of its inverse, modulo 2^64; they never travel with a task."""
+
+    def __init__(self) -> None:
+        self.up_to = 0
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.up_to < n:
+            n = 1 << (n - 1).bit_length()
+            self.tables = tuple(self._table(base, n) for base in (_BASE, _INVERSE))
+            self.up_to = n
+        return self.tables
+
+    @staticmethod
+    def _table(base: int, n: int) -> np.ndarray:
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors, dtype=np.uint64)
+
+
+powers_to = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,9 +98,9 @@ def spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each word of a piece."""
-    power, inverse = _powers_to(len(data) + 1)
+    power, inverse = powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(BYTE_HASH[data] * power[: len(data)], out=sums[1:])
     value = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(value + (ends - starts).astype(np.uint64))
 
