@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from opinion_spark.llm.decontaminate import joined
 from opinion_spark.llm.tables import documents, release
-from opinion_spark.llm.words import _BYTE, _powers_to, mix, texts
+from opinion_spark.llm.words import BYTE_HASH, mix, powers_to, texts
 from opinion_spark.staging import drop_staged, stage, staged_lookup
 
 LENGTH, KEY = 50, 20
@@ -43,9 +43,9 @@ TAG, START, COUNT = 44, 8, 1
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    power, inverse = _powers_to(len(data) + 1)
+    power, inverse = powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(BYTE_HASH[data] * power[: len(data)], out=sums[1:])
     return sums, inverse
 
 
