@@ -23,7 +23,7 @@ from opinion_spark.sources.network import parse_network  # noqa: E402
 from opinion_spark.sources.posts import linked_urls, parse_posts  # noqa: E402
 
 try:
-    from opinion_spark.llm import registry as llm  # noqa: E402
+    import opinion_spark.llm.registry as llm  # noqa: E402
 except ModuleNotFoundError as error:
     if not (error.name or "").startswith(("opinion_spark.llm", "corpus_pipeline")):
         raise
