@@ -1,0 +1,74 @@
+import corpus_pipeline
+import pytest
+from opinion_spark.llm import decontaminate, ngram_join, secrets, toxicity
+from opinion_spark.staging import stage
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """What each stage takes and returns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = []
+    for name, step in corpus_pipeline.STAGES:
+        out = stage(step(spark, docs, SF), "out")
+        seen.append((name, docs, out))
+        docs = out
+    return seen
+
+
+def ids(df):
+    return [r.doc_id for r in df.select("doc_id").orderBy("doc_id").collect()]
+
+
+def test_names_and_columns(stages):
+    assert [n for n, _, _ in stages] == ["toxicity", "near duplicates", "decontamination", "secrets", "mixing"]
+    for _, before, after in stages[:-1]:
+        assert after.schema.simpleString() == before.schema.simpleString()
+        assert 0 < after.count() <= before.count()
+
+
+def test_toxic_documents_go(spark, stages):
+    _, before, after = stages[0]
+    model = toxicity.fit(before, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert ids(after) == ids(toxicity.scored(before, model, ["doc_id"]).where("_score < 0.5"))
+
+
+def test_one_document_of_each_group_stays(stages):
+    _, before, after = stages[1]
+    groups = ngram_join.ngram_components(before, size=5, percent=80)
+    assert ids(after) == ids(groups.where("component_id = doc_id"))
+    left = ngram_join.ngram_components(after, size=5, percent=80)
+    assert left.where("component_id <> doc_id").count() == 0
+
+
+def test_contaminated_documents_go(spark, stages):
+    _, before, after = stages[2]
+    found = decontaminate.contamination(before, spark.read.parquet(f"{SF}/benchmark.parquet"), ["doc_id"])
+    dirty = [r.doc_id for r in found.collect() if r._n_hit > 0 and 20 * r._n_hit >= r._n_words]
+    assert dirty and ids(after) == sorted(set(ids(before)) - set(dirty))
+
+
+def test_secrets_are_marked_and_other_texts_stay(stages):
+    _, before, after = stages[3]
+    old = {r.doc_id: r for r in secrets.with_spans(before).collect()}
+    for r in after.collect():
+        if old[r.doc_id].spans:
+            assert "[secret]" in r.text and r.n_chars == len(r.text)
+        else:
+            assert r.text == old[r.doc_id].text
+    assert secrets.with_spans(after).where("size(spans) > 0").count() == 0
+
+
+def test_the_mix_covers_what_is_left(stages):
+    _, before, after = stages[4]
+    assert ids(after) == ids(before)
+    assert after.where("taken > 3 * size").count() == 0
+
+
+def test_run_gives_the_same_rows(spark, stages):
+    def plain(df):
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    assert plain(corpus_pipeline.run(spark, SF)) == plain(stages[-1][2])
