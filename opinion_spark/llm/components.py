@@ -36,25 +36,32 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges ``(u, v)`` lead to a node that leads nowhere, and only to one."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(None).cast("bigint").alias("to"))
+    )
+    seen = ends.groupBy("node").agg(
+        F.min("to").alias("low"), F.max("to").alias("high"), F.count(F.lit(1)).alias("n"), F.count("to").alias("out")
+    )
+    return seen.where("low < high OR (out > 0 AND n > out)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` ``(a, b)``; the smallest node names it.
 
-    Large and small stars alternate until nothing changes, a number of rounds logarithmic in the
-    size of the largest component. All state is in tables; only a count and a checksum reach the
-    driver. Null ends and loops are ignored, repeated edges count once.
+    Large and small stars alternate until every node hangs on the smallest one, a number of rounds
+    logarithmic in the size of the largest component. All state is in tables; only whether it is
+    over reaches the driver. Null ends and loops are ignored, repeated edges count once.
     """
     a, b = F.col("a"), F.col("b")
     ends = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    now = stage(ends.distinct(), "star")
-    seen = None
-    while True:
+    now = stage(ends, "star")
+    while not _settled(now):
         large = _large_star(now)
         small = _small_star(large)
         drop_staged(now, large)
         now = small
-        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if mark == seen or mark[0] == 0:
-            break
-        seen = mark
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    hung = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return hung.unionByName(roots).distinct()

@@ -104,8 +104,8 @@ def _signed(docs: DataFrame, id_col: str, text: str, size: int, percent: int) ->
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
                 sizes, digests, signatures = [], [], []
                 for has_id, value in zip(
                     part.column(0).is_valid().to_pylist(), texts(part.column(1)), strict=True
@@ -144,28 +144,29 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _meetings(signed: DataFrame) -> DataFrame:
-    """``(a, b)``: digests next to each other under one signature, and so a chain through all.
+    """``(a, b)``: the first digest of a signature with each other one.
 
     Rows are dealt by range of signature, digest and id, so a signature or a group of copies of any
-    size is spread; each task reads its rows in order and keeps one. Chains are closed across
-    the borders of the ranges.
+    size is spread; each task reads its rows in order and keeps one. Where a signature goes on in
+    the next range, the first digests of both are tied.
     """
     rows = signed.where("dig IS NOT NULL").select(F.explode("sigs").alias("sig"), "dig", "id")
     ordered = rows.repartitionByRange("sig", "dig", "id").sortWithinPartitions("sig", "dig")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
+        first = last = None  # first row here; current signature and its first digest
         for batch in batches:
             sig, dig = (np.asarray(c) for c in batch.columns)
             if not len(sig):
                 continue
             if last is None:
-                first = int(sig[0]), int(dig[0])
-            else:
-                sig, dig = np.append(last[0], sig), np.append(last[1], dig)
-            last = int(sig[-1]), int(dig[-1])
-            meet = np.flatnonzero((sig[1:] == sig[:-1]) & (dig[1:] != dig[:-1]))
-            pairs = np.unique(np.stack([dig[meet], dig[meet + 1]], axis=1), axis=0)
+                first = last = int(sig[0]), int(dig[0])
+            sig, dig = np.append(last[0], sig), np.append(last[1], dig)
+            lead = np.append(True, sig[1:] != sig[:-1])
+            hub = dig[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+            last = int(sig[-1]), int(hub[-1])
+            meet = hub != dig
+            pairs = np.unique(np.stack([hub[meet], dig[meet]], axis=1), axis=0)
             none = pa.nulls(len(pairs), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], MEETING_NAMES
@@ -212,9 +213,10 @@ def _placed(signed: DataFrame, families: DataFrame, unit_weight: int) -> DataFra
 
 
 def _unit_links(docs: DataFrame, placed: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
-    """Links within each unit, and the sets of units whose family is spread over several.
+    """What links within each unit, and the sets of units whose family is spread over several.
 
-    ``(a, b, unit, family, n, members)``: links have ``a`` and ``b``, sets the rest and ``a``.
+    ``(a, b, unit, family, n, members)``: rows with ``b`` tie a set to the first one of its group, the
+    others are sets.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
@@ -234,16 +236,22 @@ def _unit_links(docs: DataFrame, placed: DataFrame, id_col: str, text: str, size
         for group in _runs(own, family):
             members = [sets[k] for k in group]
             groups = signature_tree.Groups(np.arange(len(group)))
-            for x, y in signature_tree.links(members, None, percent, groups):
-                out.append((dig[group[x]], dig[group[y]], None, None, None, None))
+            signature_tree.links(members, None, percent, groups)
+            roots = groups.roots().tolist()
+            out += [
+                (dig[group[x]], dig[group[root]], None, None, None, None)
+                for x, root in enumerate(roots)
+                if x != root
+            ]
             if not whole[group[0]]:
                 out += [
                     (dig[k], None, unit, family[k], len(sets[k]), sets[k].tobytes()) for k in group
                 ]
         return _table(out, UNIT)
 
+    # sorted on both sides at every size: what is looked up grows with the texts
     return (
-        placed.join(named, "id")
+        named.join(placed.hint("merge"), "id")
         .groupBy("unit")
         .applyInArrow(join_unit, UNIT)
     )
@@ -304,6 +312,8 @@ def _spread_links(found: DataFrame, percent: int) -> DataFrame:
     """
     sets = found.where("unit IS NOT NULL").select("a", "unit", "family", "n", "members")
     inside = found.where("unit IS NULL").select("a", "b")
+    if sets.isEmpty():
+        return inside
     units = staged_lookup(
         sets.groupBy("family", "unit").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     )

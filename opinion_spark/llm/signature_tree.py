@@ -59,7 +59,7 @@ def _may_link(a: Level, b: Level, i: np.ndarray, j: np.ndarray, percent: int) ->
     """Whether the largest possible overlap below nodes ``i`` of a and ``j`` of b is enough."""
     near = (a.high[i] * 100 >= b.low[j] * percent) & (b.high[j] * 100 >= a.low[i] * percent)
     common = np.zeros(len(i), np.int64)
-    step = max(1, (1 << 22) // max(1, a.bits.shape[1]))
+    step = max(1, (1 << 19) // a.bits.shape[1])
     for k in range(0, len(i), step):
         part = slice(k, k + step)
         both = a.bits[i[part]] & b.bits[j[part]]
