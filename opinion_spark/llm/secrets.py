@@ -124,10 +124,12 @@ def _pattern_spans(text: Column, kind: str, rank: int, pattern: str, present: st
 def _high_window(chars: Column, c: CharClass) -> Column:
     """``(first, last)``: last character of the first and of the last window with high entropy."""
     codes = F.transform(chars, lambda x: F.instr(F.lit(c.alphabet), x) - 1)
+    ahead = F.array_repeat(F.lit(-1), c.window)
     table = F.array(*[F.lit(v).cast("bigint") for v in c.table])
     zero = F.struct(
         F.array_repeat(F.lit(0), len(c.alphabet)).alias("counts"),
         F.lit(0).cast("bigint").alias("sum"),
+        F.lit(0).alias("i"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     )
@@ -136,7 +138,7 @@ def _high_window(chars: Column, c: CharClass) -> Column:
         return F.coalesce(F.get(values, i), F.lit(0))
 
     def slide(state: Column, x: Column) -> Column:
-        counts, enters, leaves, i = state["counts"], x["enters"], x["leaves"], x["i"]
+        counts, enters, leaves, i = state["counts"], x["enters"], x["leaves"], state["i"]
         gone = at(counts, leaves)
         there = at(counts, enters) - (leaves == enters).cast("int")
         new = (
@@ -148,17 +150,15 @@ def _high_window(chars: Column, c: CharClass) -> Column:
                 counts, lambda n, j: n + (j == enters).cast("int") - (j == leaves).cast("int")
             ).alias("counts"),
             new.alias("sum"),
+            (i + 1).alias("i"),
             F.coalesce(state["first"], F.when(high, i)).alias("first"),
             F.when(high, i).otherwise(state["last"]).alias("last"),
         )
 
-    steps = F.transform(
-        codes,
-        lambda code, i: F.struct(
-            code.alias("enters"),
-            F.when(i >= c.window, F.get(codes, i - c.window)).otherwise(-1).alias("leaves"),
-            i.alias("i"),
-        ),
+    # what enters beside what leaves, so that no step looks back into the string
+    leaving = F.concat(ahead, F.slice(codes, 1, F.greatest(F.size(codes) - c.window, F.lit(0))))
+    steps = F.zip_with(
+        codes, leaving, lambda x, y: F.struct(x.alias("enters"), F.coalesce(y, F.lit(-1)).alias("leaves"))
     )
     return F.aggregate(
         steps, zero, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))
