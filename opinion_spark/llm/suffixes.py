@@ -88,7 +88,7 @@ def _named(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _tuples(named: DataFrame, hot: np.ndarray) -> DataFrame:
-    """One row per run; keys in the sorted array ``hot`` are spread by their run's hash."""
+    """One row per run; keys in the sorted array ``hot`` are spread by their run and document."""
     shared = named.sparkSession.sparkContext.broadcast(hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,8 @@ def _tuples(named: DataFrame, hot: np.ndarray) -> DataFrame:
                     if len(hot):
                         k = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
                         spread = hot[k] == g
-                        g = np.where(spread, mix(g + c % np.uint64(SALTS) + np.uint64(1)), g)
+                        salt = (c + mix(np.full(1, doc, np.int64).view(np.uint64))) % np.uint64(SALTS)
+                        g = np.where(spread, mix(g + salt + np.uint64(1)), g)
                         place = place + spread
                     for column, values in zip(out, (g, c, np.full(len(g), doc, np.int64), place), strict=True):
                         column.append(values)
