@@ -25,7 +25,7 @@ from opinion_spark.llm.tables import documents, table
 from opinion_spark.llm.words import BYTE_HASH, LETTERS, lower, mix, pieces, powers_to, spans, texts
 
 #: Most documents of one label to learn from, and most bytes of one of them.
-TRAIN_DOCS, TRAIN_BYTES = 4_000, 200_000
+TRAIN_DOCS, TRAIN_BYTES = 4_000, 50_000
 #: Log-likelihood ratio from which a feature marks toxic documents.
 EVIDENCE = 25.0
 #: Hashed features.
@@ -36,6 +36,8 @@ CHAIN = 128
 #: Bytes that are looked at together.
 BATCH_BYTES = 1 << 20
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-6
+#: Least marginal that counts for a document.
+DOUBT = 0.2
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
@@ -142,8 +144,11 @@ class Model:
 
 
 def document_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """``(n, 4)``: constant, largest marginal, log of the expected toxic words, and their share."""
-    total = np.bincount(doc, weights=p, minlength=n)
+    """``(n, 4)``: constant, largest marginal, log of the expected toxic words, and their share.
+
+    Marginals below ``DOUBT`` do not add up, so a long text is not toxic for being long.
+    """
+    total = np.bincount(doc, weights=np.where(p >= DOUBT, p, 0.0), minlength=n)
     count = np.bincount(doc, minlength=n)
     most = np.zeros(n)
     np.maximum.at(most, doc, p)
