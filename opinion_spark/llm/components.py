@@ -8,30 +8,37 @@ from pyspark.sql import functions as F
 from opinion_spark.staging import drop_staged, stage, staged_lookup
 
 
-def _smallest(pairs: DataFrame) -> DataFrame:
+#: Edges that one task writes, about; fewer, larger files where the graph is small.
+TASK_EDGES = 200_000
+
+
+def _smallest(pairs: DataFrame, tasks: int) -> DataFrame:
     """``(u, m)``: the smallest neighbour of each node, written so that a hot node can be split."""
-    return staged_lookup(pairs.groupBy("u").agg(F.min("v").alias("m")))
+    return staged_lookup(pairs.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Each neighbour above a node is tied to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _smallest(both)
+    least = _smallest(both, tasks)
     starred = both.where("v > u").join(least, "u")
     tied = stage(
-        starred.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct(),
+        starred.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        .where("u <> v")
+        .distinct()
+        .coalesce(tasks),
         "star",
     )
     drop_staged(least)
     return tied
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them; edges have u > v."""
-    least = _smallest(edges)
+    least = _smallest(edges, tasks)
     own = least.select("u", F.col("m").alias("v"))
     others = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    tied = stage(own.unionByName(others).distinct(), "star")
+    tied = stage(own.unionByName(others).distinct().coalesce(tasks), "star")
     drop_staged(least)
     return tied
 
@@ -57,9 +64,11 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     ends = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = stage(ends, "star")
+    # neither star adds edges
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, now.count() // TASK_EDGES + 1)
     while not _settled(now):
-        large = _large_star(now)
-        small = _small_star(large)
+        large = _large_star(now, tasks)
+        small = _small_star(large, tasks)
         drop_staged(now, large)
         now = small
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
