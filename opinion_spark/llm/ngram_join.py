@@ -5,8 +5,8 @@ found exactly; equal sets are one node of the graph, so copies cost nothing.
 
 1. *Routing.* Two sets that reach the percentage differ in at most k members, k bound by their size
    class. The hash space is cut into more than k parts, so one part at least is equal in both. Each
-   set gives one signature per part; sets that meet in a signature are in one family, and all links
-   are inside families.
+   set gives one signature per part, but for parts of common n-grams alone, as many as can be spared;
+   sets that meet in a signature are in one family, and all links are inside families.
 2. *Trees.* A family is cut into units of bounded weight, ordered by set size. Each unit becomes a
    signature tree; dual traversal of the tree with itself and with the trees of other units of the
    family prunes node pairs by the largest possible overlap, and the leaf pairs that are left are
@@ -18,6 +18,7 @@ Sets are compared by 64-bit hashes of their members, and told apart by a 64-bit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,17 @@ from opinion_spark.llm.tables import documents
 from opinion_spark.llm.words import SPACED, mix, texts, word_hashes
 from opinion_spark.staging import drop_staged, stage, staged_lookup
 
+#: One document in so many is looked at for common n-grams; in how many of them one must be; how many.
+SAMPLE, COMMON_IN, MOST_COMMON = 16, 3, 200_000
 #: Sizes of one class differ by less than this factor.
 CLASS_RATIO = 1.45
 #: Most members of the sets of one unit, where each set counts this much besides.
 UNIT_WEIGHT, SET_WEIGHT = 512_000, 512
 
 
+NONE = np.zeros(0, np.uint64)
+
+
 def _odd(n: int) -> np.uint64:
     return np.uint64(pow(0xD6E8FEB86659FD93, n, 1 << 64))
 
@@ -65,44 +71,69 @@ def class_bounds(largest: int) -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
-def part_signatures(s: np.ndarray, percent: int) -> np.ndarray:
+def part_signatures(s: np.ndarray, percent: int, common: np.ndarray = NONE) -> np.ndarray:
     """Signatures such that two sets at or above ``percent`` share one.
 
     For a pair whose larger set is in a class, the sets differ in at most k members. With
-    k + 1 + spare parts, spare + 1 of them are equal. So a set may leave out its parts of no member,
-    or of fewer than two, as long as there are at most ``spare`` of them: whichever of two similar
-    sets leaves out more, an equal part remains in both.
+    k + 1 + spare parts, spare + 1 of them are equal. So a set may leave out the parts that have none
+    but ``common`` members, or else those without any, as long as there are at most ``spare`` of them:
+    whichever of two similar sets leaves out more, an equal part remains in both. Which n-grams are
+    common (a sorted array) changes how many sets meet, and never whether similar ones do.
     """
     n = len(s)
     bounds = class_bounds(n * 100 // percent + 1)
     weights = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(s ^ np.uint64(0xA0761D6478BD642F)), out=weights[1:])
+    rare = np.zeros(n + 1, np.int64)
+    rare[1:] = np.arange(1, n + 1)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        np.cumsum(common[at] != s, out=rare[1:])
+    # of parts with m members on average, exp(-m) have none; the smallest sets of a class have least
+    least = (100 + percent) / (2 * (100 - percent)) / CLASS_RATIO if percent < 100 else math.inf
+    share = 1 / 16 + 3 * math.exp(-least)
     found = []
     own = int(np.searchsorted(bounds, n, side="right")) - 1
     for c in range(own, len(bounds) - 1):
         if bounds[c] * percent > n * 100:
             break
         most = 2 * int(bounds[c + 1] - 1) * (100 - percent) // (100 + percent)
-        spare = -(-most // 16)
+        spare = math.ceil(most * share)
         parts = most + 1 + spare
         edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(s, edges), [n]])
-        members = np.diff(at)
+        members, telling = np.diff(at), np.diff(rare[at])
         name = np.arange(parts, dtype=np.uint64) + np.uint64(c << 40)
         signature = mix((weights[at[1:]] - weights[at[:-1]]) ^ mix(name))
         keep = np.ones(parts, bool)
-        for least in (2, 1):
-            if (members < least).sum() <= spare:
-                keep = members >= least
+        for counts in (telling, members):
+            if (counts == 0).sum() <= spare:
+                keep = counts > 0
                 break
         found.append(signature[keep])
     return np.concatenate(found)
 
 
+def _common(docs: DataFrame, id_col: str, text: str, size: int) -> np.ndarray:
+    """N-grams that many of the sampled documents have, sorted."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in texts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(value, size).view(np.int64))], ["g"])
+
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0).select(text)
+    frequent = some.mapInArrow(cut, "g bigint").groupBy("g").agg(F.count("*").alias("n"))
+    rows = frequent.where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "g").limit(MOST_COMMON).select("g").collect()
+    return np.sort(np.array([r["g"] for r in rows], np.int64).view(np.uint64))
+
+
 def _signed(docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
     """``(id, n, dig, sigs)`` per row; rows without id or words have no digest."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text, size))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
@@ -115,7 +146,7 @@ def _signed(docs: DataFrame, id_col: str, text: str, size: int, percent: int) ->
                     linked = has_id and len(s) > 0
                     digests.append(_digest(s) if linked else None)
                     signatures.append(
-                        part_signatures(s, percent).view(np.int64) if linked else None
+                        part_signatures(s, percent, common).view(np.int64) if linked else None
                     )
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from opinion_spark.llm import signature_tree
+from opinion_spark.llm import ngram_join, signature_tree
 from opinion_spark.llm.ngram_join import class_bounds, ngram_components, part_signatures
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,7 +76,8 @@ def corpus(seed=3):
 
 
 @pytest.mark.parametrize(("size", "percent", "weight"), [(3, 90, 512_000), (5, 80, 6_000), (2, 60, 1)])
-def test_components_match_brute_force(table, size, percent, weight):
+def test_components_match_brute_force(table, monkeypatch, size, percent, weight):
+    monkeypatch.setattr(ngram_join, "SAMPLE", 2)
     rows = corpus()
     df = ngram_components(table(rows, "doc_id long, text string"), size=size, percent=percent, unit_weight=weight)
     assert sorted((tuple(r) for r in df.collect()), key=repr) == brute(rows, size, percent)
@@ -109,8 +110,9 @@ def test_similar_sets_share_a_signature():
                     kept = rng.permutation(a)[drop:]
                     b = np.unique(np.append(kept, rng.integers(0, 1 << 63, extra, dtype=np.uint64)))
                     if len(b):
-                        shared = np.intersect1d(part_signatures(a, percent), part_signatures(b, percent))
-                        assert len(shared), (percent, n, drop, extra)
+                        for common in (a[:0], a[: len(a) // 7], np.union1d(a, b)):
+                            x, y = (part_signatures(s, percent, common) for s in (a, b))
+                            assert len(np.intersect1d(x, y)), (percent, n, drop, extra)
 
 
 def test_class_bounds_rise():
