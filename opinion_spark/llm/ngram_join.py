@@ -13,6 +13,10 @@ found exactly; equal sets are one node of the graph, so copies cost nothing.
    compared member by member.
 3. *Components* follow from the links by a distributed algorithm.
 
+``ngram_links`` returns every link between different sets and ``linked_documents`` their number per
+document. ``ngram_components`` returns components alone and does not compare sets that hang together
+already.
+
 Sets are compared by 64-bit hashes of their members, and told apart by a 64-bit digest.
 """
 
@@ -221,21 +225,24 @@ MEETING_NAMES = ["a", "b", "part", "first", "last"]
 MEETING = ", ".join(f"{name} bigint" for name in MEETING_NAMES)
 
 
-def _placed(signed: DataFrame, families: DataFrame, unit_weight: int) -> DataFrame:
-    """``(unit, family, whole, dig, n, id)``: one row per distinct set of a family.
+def _sets(linkable: DataFrame) -> DataFrame:
+    """``(dig, n, id, copies)``: the distinct sets, their smallest id and how many ids have them."""
+    grouped = linkable.groupBy("dig", "n")
+    return stage(grouped.agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies")), "sets")
+
+
+def _placed(sets: DataFrame, families: DataFrame, unit_weight: int) -> DataFrame:
+    """``(unit, family, whole, dig, n, id, copies)``: one row per distinct set of a family.
 
     Sets are ordered by family and size and cut into units of equal weight; ``whole`` says that the
     family lies in one unit.
     """
-    members = signed.join(families.withColumnRenamed("node", "dig"), "dig").select(
-        F.col("component").alias("family"), "dig", "n", "id"
-    )
-    sets = members.groupBy("family", "dig", "n").agg(F.min("id").alias("id"))
-    weighed = sets.withColumn("weight", F.col("n") + SET_WEIGHT).withColumn("all", F.lit(0))
+    members = sets.join(families.withColumnsRenamed({"node": "dig", "component": "family"}), "dig")
+    weighed = members.withColumn("weight", F.col("n") + SET_WEIGHT).withColumn("all", F.lit(0))
     summed = prefix_sums(weighed, "all", ["family", "n", "dig"], "weight")
     units = stage(
         summed.select(
-            F.floor(F.col("before") / unit_weight).alias("unit"), "family", "dig", "n", "id"
+            F.floor(F.col("before") / unit_weight).alias("unit"), "family", "dig", "n", "id", "copies"
         ),
         "units",
     )
@@ -243,11 +250,38 @@ def _placed(signed: DataFrame, families: DataFrame, unit_weight: int) -> DataFra
     return stage(units.join(staged_lookup(spread), "family"), "placed")
 
 
-def _unit_links(docs: DataFrame, placed: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
+#: What is returned of the links: only as many as tie sets together, or besides how many each set has,
+#: or all of them.
+TIES, COUNTS, PAIRS = "ties", "counts", "pairs"
+
+
+def _every_link(
+    sets_a: list[np.ndarray],
+    sets_b: list[np.ndarray] | None,
+    percent: int,
+    dig: np.ndarray,
+    copies: np.ndarray,
+    give: str,
+) -> list[tuple]:
+    """``(a, b, links)`` of all links: the pairs, or ties ``(a, b)`` and documents linked with ``a``."""
+    i, j = signature_tree.every_link(sets_a, sets_b, percent)
+    if give == PAIRS:
+        return [(a, b, None) for a, b in zip(dig[i], dig[j], strict=True)]
+    count = np.zeros(len(dig), np.int64)
+    np.add.at(count, i, copies[j])
+    np.add.at(count, j, copies[i])
+    roots = signature_tree.joined(i, j, len(dig))
+    ties = [(dig[x], dig[root], None) for x, root in enumerate(roots) if x != root]
+    return ties + [(dig[x], None, int(count[x])) for x in np.flatnonzero(count)]
+
+
+def _unit_links(
+    docs: DataFrame, placed: DataFrame, id_col: str, text: str, size: int, percent: int, give: str
+) -> DataFrame:
     """What links within each unit, and the sets of units whose family is spread over several.
 
-    ``(a, b, unit, family, n, members)``: rows with ``b`` tie a set to the first one of its group, the
-    others are sets.
+    ``(a, b, links, unit, family, n, copies, members)``: rows with ``unit`` are sets. Of the others, rows
+    with ``b`` tie a set to the first one of its group or are a link, rows with ``links`` count.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
@@ -257,6 +291,7 @@ def _unit_links(docs: DataFrame, placed: DataFrame, id_col: str, text: str, size
         dig = rows.column("dig").to_numpy()
         family = rows.column("family").to_numpy()
         whole = rows.column("whole").to_numpy(zero_copy_only=False)
+        copies = rows.column("copies").to_numpy()
         unit = int(rows.column("unit")[0].as_py())
         sets = [shingles(value, size) for value in texts(values)]
         # another text under the same id is not the one that was placed
@@ -266,17 +301,18 @@ def _unit_links(docs: DataFrame, placed: DataFrame, id_col: str, text: str, size
         out = []
         for group in _runs(own, family):
             members = [sets[k] for k in group]
-            groups = signature_tree.Groups(np.arange(len(group)))
-            signature_tree.links(members, None, percent, groups)
-            roots = groups.roots().tolist()
-            out += [
-                (dig[group[x]], dig[group[root]], None, None, None, None)
-                for x, root in enumerate(roots)
-                if x != root
-            ]
+            if give == TIES:
+                groups = signature_tree.Groups(np.arange(len(group)))
+                signature_tree.links(members, None, percent, groups)
+                roots = groups.roots().tolist()
+                linked = [(dig[group[x]], dig[group[y]], None) for x, y in enumerate(roots) if x != y]
+            else:
+                linked = _every_link(members, None, percent, dig[group], copies[group], give)
+            out += [(*row, None, None, None, None, None) for row in linked]
             if not whole[group[0]]:
                 out += [
-                    (dig[k], None, unit, family[k], len(sets[k]), sets[k].tobytes()) for k in group
+                    (dig[k], None, None, unit, family[k], len(sets[k]), copies[k], sets[k].tobytes())
+                    for k in group
                 ]
         return _table(out, UNIT)
 
@@ -288,8 +324,8 @@ def _unit_links(docs: DataFrame, placed: DataFrame, id_col: str, text: str, size
     )
 
 
-UNIT = "a bigint, b bigint, unit bigint, family bigint, n bigint, members binary"
-LINK = "a bigint, b bigint"
+LINK = "a bigint, b bigint, links bigint"
+UNIT = LINK + ", unit bigint, family bigint, n bigint, copies bigint, members binary"
 
 
 def _table(rows: list[tuple], ddl: str) -> pa.Table:
@@ -312,10 +348,10 @@ def _runs(order: list[int], family: np.ndarray) -> list[list[int]]:
     return runs
 
 
-def _cross_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _cross_links(pairs: DataFrame, sets: DataFrame, percent: int, give: str) -> DataFrame:
     """Links between the sets of two units, for ``(family, low, high)`` pairs of units.
 
-    Sets that are in one group ``g`` already are not compared.
+    For ties, sets that are in one group ``g`` already are not compared.
     """
 
     def join_units(batch: pa.Table) -> pa.Table:
@@ -325,9 +361,12 @@ def _cross_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         split = int(np.searchsorted(unit, unit[0], side="right"))
         if split == len(sets):
             return _table([], LINK)
+        if give != TIES:
+            copies = rows.column("copies").to_numpy()
+            return _table(_every_link(sets[:split], sets[split:], percent, dig, copies, give), LINK)
         groups = signature_tree.Groups(rows.column("g").to_numpy())
         found = signature_tree.links(sets[:split], sets[split:], percent, groups)
-        return _table([(dig[x], dig[y]) for x, y in found], LINK)
+        return _table([(dig[x], dig[y], None) for x, y in found], LINK)
 
     ends = pairs.select("family", "low", "high", F.explode(F.array("low", "high")).alias("unit"))
     return ends.join(sets, ["family", "unit"]).groupBy("family", "low", "high").applyInArrow(
@@ -335,14 +374,34 @@ def _cross_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _units(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links found within units, and the sets to be compared over units."""
+    sets = found.where("unit IS NOT NULL").select("a", "unit", "family", "n", "copies", "members")
+    return found.where("unit IS NULL").select("a", "b", "links"), sets
+
+
+def _whole_links(found: DataFrame, percent: int, give: str) -> DataFrame:
+    """``(a, b, links)`` within units and between all units of a family whose sizes are near enough."""
+    inside, sets = _units(found)
+    if sets.isEmpty():
+        return inside
+    units = staged_lookup(
+        sets.groupBy("family", "unit").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    )
+    low = units.select("family", F.col("unit").alias("low"), "most")
+    high = units.select("family", F.col("unit").alias("high"), F.col("least").alias("high_least"))
+    near = F.col("most") * 100 >= F.col("high_least") * percent
+    pairs = low.join(high, "family").where((F.col("high") > F.col("low")) & near)
+    return inside.unionByName(_cross_links(pairs, sets, percent, give))
+
+
 def _spread_links(found: DataFrame, percent: int) -> DataFrame:
-    """Links between units of families that are spread over several units.
+    """Ties between units of families that are spread over several units.
 
     Neighbours in size come first; they tie most copies together. Of the other unit pairs only
     those are left whose sizes are near enough and which are not in one component already.
     """
-    sets = found.where("unit IS NOT NULL").select("a", "unit", "family", "n", "members")
-    inside = found.where("unit IS NULL").select("a", "b")
+    inside, sets = _units(found)
     if sets.isEmpty():
         return inside
     units = staged_lookup(
@@ -357,7 +416,7 @@ def _spread_links(found: DataFrame, percent: int) -> DataFrame:
         other.withColumn("low", F.col("high") - 1), ["family", "low"]
     ).where(near)
     alone = sets.withColumn("g", F.col("a"))
-    chained = stage(_cross_links(neighbours, alone, percent), "chained")
+    chained = stage(_cross_links(neighbours, alone, percent, TIES), "chained")
     known = inside.unionByName(chained)
     groups = stage(components(known), "groups").withColumnRenamed("node", "a")
     grouped = stage(
@@ -386,7 +445,7 @@ def _spread_links(found: DataFrame, percent: int) -> DataFrame:
     pairs = low.join(high, "family").where(
         (F.col("high") > F.col("low") + 1) & near & ~together
     )
-    return known.unionByName(_cross_links(pairs, grouped, percent))
+    return known.unionByName(_cross_links(pairs, grouped, percent, TIES))
 
 
 def ngram_components(
@@ -406,15 +465,76 @@ def ngram_components(
     Repeated rows agree; rows that share an id but not the text are different nodes. Other columns
     are ignored.
     """
+    base, sets, found = _joined(docs, id_col, text, size, percent, unit_weight, TIES)
+    linked = components(_spread_links(found, percent))
+    return _named(base, sets, linked, id_col).drop("dig")
+
+
+def linked_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    size: int = 3,
+    percent: int = 90,
+    unit_weight: int = UNIT_WEIGHT,
+) -> DataFrame:
+    """``ngram_components`` with ``n_links``, the number of documents that a row's document links with.
+
+    All links count, those with copies of the text too. A document is an id and a text, so repeated
+    rows count once. Rows that link with nothing or take no part have 0.
+    """
+    base, sets, found = _joined(docs, id_col, text, size, percent, unit_weight, COUNTS)
+    links = stage(_whole_links(found, percent, COUNTS), "links")
+    linked = components(links.where("b IS NOT NULL").select("a", "b"))
+    counted = links.where("b IS NULL").groupBy(F.col("a").alias("dig")).agg(F.sum("links").alias("links"))
+    own = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    n_links = staged_lookup(sets.join(counted, "dig", "left").select("dig", own.alias("n_links")))
+    return (
+        _named(base, sets, linked, id_col)
+        .join(n_links, "dig", "left")
+        .select(id_col, "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    )
+
+
+def ngram_links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    size: int = 3,
+    percent: int = 90,
+    unit_weight: int = UNIT_WEIGHT,
+) -> DataFrame:
+    """``(a, b, a_set, b_set)``: every link between two different sets, once.
+
+    ``a`` and ``b`` are the smallest ids that have the sets, ``a_set`` and ``b_set`` their digests, which
+    tell them apart where texts share an id. Copies of a text are one set.
+    """
+    _, sets, found = _joined(docs, id_col, text, size, percent, unit_weight, PAIRS)
+    links = _whole_links(found, percent, PAIRS).select(F.col("a").alias("a_set"), F.col("b").alias("b_set"))
+    ids = staged_lookup(sets.select("dig", "id"))
+    for end in "ab":
+        links = links.join(ids.select(F.col("dig").alias(f"{end}_set"), F.col("id").alias(end)), f"{end}_set")
+    a, b = F.struct("a", "a_set"), F.struct(F.col("b").alias("a"), F.col("b_set").alias("a_set"))
+    ends = links.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+    return ends.selectExpr("low.a AS a", "high.a AS b", "low.a_set AS a_set", "high.a_set AS b_set")
+
+
+def _joined(
+    docs: DataFrame, id_col: str, text: str, size: int, percent: int, unit_weight: int, give: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(id, n, dig)`` per row, the distinct sets, and what ``_unit_links`` gives."""
     signed = stage(_signed(docs, id_col, text, size, percent), "signed")
     base = stage(signed.select("id", "n", "dig"), "base")
     families = stage(components(_meetings(signed)), "families")
     drop_staged(signed)
-    linkable = base.where("dig IS NOT NULL")
-    placed = _placed(linkable, families, unit_weight)
-    found = stage(_unit_links(docs, placed, id_col, text, size, percent), "found")
-    linked = components(_spread_links(found, percent))
-    first = linkable.groupBy("dig").agg(F.min("id").alias("first"))
+    sets = _sets(base.where("dig IS NOT NULL"))
+    placed = _placed(sets, families, unit_weight)
+    return base, sets, stage(_unit_links(docs, placed, id_col, text, size, percent, give), "found")
+
+
+def _named(base: DataFrame, sets: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
+    """``(<id_col>, n_shingles, component_id, dig)`` per row, components named by their smallest id."""
+    first = sets.select("dig", F.col("id").alias("first"))
     firsts = first.join(linked.withColumnRenamed("node", "dig"), "dig", "left").withColumn(
         "component", F.coalesce("component", "dig")
     )
@@ -427,8 +547,9 @@ def ngram_components(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"),
+        "dig",
     )
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir))
+    return linked_documents(documents(spark, sf_dir))

@@ -116,9 +116,68 @@ class Groups:
         return np.array([self.find(x) for x in range(len(self.parent))])
 
 
+def joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of each group of ``n`` numbers that pairs tie together."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 CHUNK = 4096
 
 
+def _left(
+    sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that the traversal leaves; numbers of b follow those of a."""
+    width = width_for(max(len(s) for s in sets_a + (sets_b or [])))
+    tree_b = None if sets_b is None else tree(sets_b, width)
+    i, j = candidates(tree(sets_a, width), tree_b, percent)
+    return i, j if sets_b is None else j + len(sets_a)
+
+
+def every_link(
+    sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that reach ``percent``; numbers of b follow those of a.
+
+    Every pair that the traversal leaves is compared member by member, by bitmaps with a bit of its
+    own for each member that two sets have.
+    """
+    every = sets_a + (sets_b or [])
+    i, j = _left(sets_a, sets_b, percent)
+    if not len(i):
+        return i, j
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    size = np.array([len(every[k]) for k in used], np.int64)
+    ends = np.cumsum(size)
+    _, member, seen = np.unique(
+        np.concatenate([every[k] for k in used]), return_inverse=True, return_counts=True
+    )
+    place = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[member]
+    words = int((seen > 1).sum()) // 64 + 1
+    bits = np.zeros((len(used), words), np.uint64)
+    for k, (start, end) in enumerate(zip(ends - size, ends, strict=True)):
+        flags = np.zeros(words * 64, bool)
+        own = place[start:end]
+        flags[own[own >= 0]] = True
+        bits[k] = np.packbits(flags).view(np.uint64)
+    x, y = at[: len(i)], at[len(i) :]
+    keep = np.zeros(len(i), bool)
+    step = max(1, (1 << 19) // words)
+    for k in range(0, len(i), step):
+        part = slice(k, k + step)
+        common = np.bitwise_count(bits[x[part]] & bits[y[part]]).sum(axis=1, dtype=np.int64)
+        keep[part] = 100 * common >= percent * (size[x[part]] + size[y[part]] - common)
+    return i[keep], j[keep]
+
+
 def links(
     sets_a: list[np.ndarray],
     sets_b: list[np.ndarray] | None,
@@ -127,15 +186,11 @@ def links(
 ) -> list[tuple[int, int]]:
     """Pairs that reach ``percent`` and join two groups; numbers of b follow those of a.
 
-    Every pair that the traversal leaves is compared member by member, unless its ends are in one
-    group already: which documents hang together does not change by it.
+    Not every link: a pair whose ends are in one group already is not compared, as which documents
+    hang together does not change by it. ``every_link`` returns them all.
     """
     every = sets_a + (sets_b or [])
-    width = width_for(max(len(s) for s in every))
-    tree_a = tree(sets_a, width)
-    tree_b = None if sets_b is None else tree(sets_b, width)
-    i, j = candidates(tree_a, tree_b, percent)
-    j = j if sets_b is None else j + len(sets_a)
+    i, j = _left(sets_a, sets_b, percent)
     found = []
     for k in range(0, len(i), CHUNK):
         roots = groups.roots()

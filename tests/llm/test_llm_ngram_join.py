@@ -143,3 +143,42 @@ def test_counts_by_hand():
     rows = [(0, "a b c d e"), (1, "a b c d e")]
     assert Counter(shingle_set("a b c a b c", 3)) and defaultdict(int) == {}
     assert brute(rows, 3, 90) == [(0, 3, 0), (1, 3, 0)]
+
+
+def linked_by_brute_force(rows, size, percent):
+    """Links between different sets, by their smallest ids, and the links of each document."""
+    ids = defaultdict(set)
+    for d, t in rows:
+        if d is not None and shingle_set(t, size):
+            ids[shingle_set(t, size)].add(d)
+    links, n_links = set(), {s: len(i) - 1 for s, i in ids.items()}
+    for a in ids:
+        for b in ids:
+            if a != b and 100 * len(a & b) >= percent * len(a | b):
+                n_links[a] += len(ids[b])
+                links.add(tuple(sorted((min(ids[a]), min(ids[b])))))
+    per_row = [(d, 0 if d is None else n_links.get(shingle_set(t, size), 0)) for d, t in rows]
+    return links, sorted(per_row, key=repr)
+
+
+@pytest.mark.parametrize(("size", "percent", "weight"), [(3, 90, 512_000), (5, 80, 6_000), (2, 60, 1)])
+def test_every_link_is_returned_and_counted(table, size, percent, weight):
+    rows = corpus(4)
+    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(rows[::7])] + [rows[3], (None, rows[0][1]), (9_999, None)]
+    df = table(rows, "doc_id long, text string")
+    links, counts = linked_by_brute_force(rows, size, percent)
+    got = ngram_join.ngram_links(df, size=size, percent=percent, unit_weight=weight).collect()
+    assert len(got) == len(links) and {(r.a, r.b) for r in got} == links
+    got = ngram_join.linked_documents(df, size=size, percent=percent, unit_weight=weight)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    got = got.collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == counts
+    assert sorted((tuple(r)[:3] for r in got), key=repr) == brute(rows, size, percent)
+
+
+def test_op1_has_the_number_of_links(spark, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base, f"end{k}"])) for k in range(4)] + [(4, " ".join([*base, "end0"]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = ngram_join.op1_ngram_jaccard_join(spark, str(tmp_path)).collect()
+    assert {(r.component_id, r.n_links) for r in got} == {(0, 4)}
