@@ -2,8 +2,8 @@
 
 Lines that begin with ``>`` quote, as deep as they have marks. Runs of lines of one depth are passages;
 passages, lines and whole messages are normalised and hashed, and what a message quotes is joined with
-what messages say themselves. A message answers the earlier message of its conversation that most of
-its first-level quotes come from. Messages are returned without quotes, each thread together and
+what messages say themselves, at every level. A message answers the earlier message of its conversation
+that most of its quotes come from, those of the shallowest level of which any is found. Messages are returned without quotes, each thread together and
 every answer behind what it answers. DataFrame functions only.
 """
 
@@ -21,6 +21,8 @@ MARKS = r"^(?:[\x20\t]{0,3}>)+"
 #: A level-0 line before a quote that only says whose it is.
 ATTRIBUTION = r"(?:wrote|schrieb|escribió|écrit)\x20?:\s*$"
 
+QUOTES = "array<struct<level:int,origin_conv:bigint,origin_turn:bigint>>"
+
 
 def _normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -66,11 +68,13 @@ def link_quotes(
     messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
     """One row per row of ``messages``: ``(<conv>, <turn>, <role>, own_text, n_quotes, max_level,
-    origin_conv, origin_turn, reply_to, thread, depth, position)``.
+    quotes, origin_conv, origin_turn, reply_to, thread, depth, position)``.
 
-    ``own_text`` has no quoted lines, nor a line that only introduces them. ``origin`` is the message
-    most of the first-level quotes come from: an earlier one of the conversation (the earliest that
-    says so), else the first of all other conversations by id and turn; ties go to the later turn.
+    ``own_text`` has no quoted lines, nor a line that only introduces them. ``quotes`` lists the quoted
+    passages in order, ``(level, origin_conv, origin_turn)`` each. The origin of a passage is the message
+    most of it comes from: an earlier one of the conversation (the earliest that says so), else the
+    first of all other conversations by id and turn; ties go to the later turn. ``origin`` of the
+    message is found in the same way from all its quotes of the shallowest level that has an origin.
     ``reply_to`` is the origin's turn if it is in the same conversation. ``thread`` is the turn at the
     root, ``depth`` the number of answers up to it, ``position`` the place in the conversation by
     thread and turn, from 0. Null and empty texts quote nothing and are quoted by nobody; rows without
@@ -109,6 +113,7 @@ def link_quotes(
             F.when(F.col("_key").isNull(), F.col("text")).otherwise(F.coalesce("own", F.lit(""))).alias("own_text"),
             F.coalesce("n_quotes", F.lit(0)).cast("bigint").alias("n_quotes"),
             F.coalesce("max_level", F.lit(0)).alias("max_level"),
+            F.coalesce("quotes", F.array().cast(QUOTES)).alias("quotes"),
             "origin_conv",
             "origin_turn",
             F.when(F.col("origin_conv") == F.col("conv"), F.col("origin_turn")).alias("reply_to"),
@@ -139,13 +144,13 @@ def _said(placed: DataFrame) -> DataFrame:
 
 
 def _origins(quotes: DataFrame, said: DataFrame) -> DataFrame:
-    """``(conv, turn, key, origin_conv, origin_turn)`` of messages whose first-level quotes are found.
+    """``(conv, turn, key, quotes, origin_conv, origin_turn)`` of messages that quote.
 
     What is said is first reduced to one row per hash and conversation, and one per hash, so a common
     line meets each quote once.
     """
-    asked = quotes.where("level = 1 AND unit <> ''").select(
-        "conv", "turn", "key", F.md5("unit").alias("hash"), F.length("unit").alias("weight")
+    asked = quotes.where("unit <> ''").select(
+        "conv", "turn", "key", "level", "run", F.md5("unit").alias("hash"), F.length("unit").alias("weight")
     )
     wanted = staged_lookup(asked.select("hash").distinct())
     found = said.join(wanted, "hash").groupBy("hash", "conv").agg(F.min("turn").alias("turn"))
@@ -158,29 +163,35 @@ def _origins(quotes: DataFrame, said: DataFrame) -> DataFrame:
     origin = F.when(here, F.struct(F.col("conv").alias("conv"), F.col("near_turn").alias("turn"))).when(
         other, F.struct(F.col("first.conv").alias("conv"), F.col("first.turn").alias("turn"))
     )
-    votes = (
+    message, passage = ["conv", "turn", "key"], ["conv", "turn", "key", "level", "run"]
+    votes = stage(
         met.withColumn("origin", origin)
         .where(F.col("origin").isNotNull())
-        .groupBy("conv", "turn", "key", "origin")
-        .agg(F.sum("weight").alias("weight"))
+        .groupBy(*passage, "origin")
+        .agg(F.sum("weight").alias("weight")),
+        "votes",
     )
-    near_first = (F.col("origin.conv") == F.col("conv")).cast("int")
-    best = F.max(
-        F.struct(near_first, "weight", F.col("origin.turn").alias("t"), (-F.col("origin.conv")).alias("c"))
-    ).alias("best")
-    return (
-        votes.groupBy("conv", "turn", "key")
-        .agg(best)
-        .select(
-            "conv",
-            "turn",
-            "key",
-            (-F.col("best.c")).alias("origin_conv"),
-            F.col("best.t").alias("origin_turn"),
-        )
+    listed = F.struct("run", "level", "best.origin_conv", "best.origin_turn")
+    passages = quotes.select(*passage).distinct().join(_best(votes, *passage), passage, "left")
+    lists = passages.groupBy(*message).agg(F.array_sort(F.collect_list(listed)).alias("quotes"))
+    by_level = votes.groupBy(*message, "level", "origin").agg(F.sum("weight").alias("weight"))
+    shallowest = _best(by_level, *message, "level").groupBy(*message).agg(F.min_by("best", "level").alias("best"))
+    return lists.join(shallowest, message, "left").select(
+        *message,
+        F.transform("quotes", lambda q: q.dropFields("run")).cast(QUOTES).alias("quotes"),
+        "best.origin_conv",
+        "best.origin_turn",
     )
 
 
+def _best(votes: DataFrame, *by: str) -> DataFrame:
+    """``(*by, best)``: the origin with most votes, of the own conversation if there is one."""
+    near_first = (F.col("origin.conv") == F.col("conv")).cast("int")
+    order = F.struct(near_first, "weight", "origin.turn", -F.col("origin.conv"))
+    found = F.struct(F.col("origin.conv").alias("origin_conv"), F.col("origin.turn").alias("origin_turn"))
+    return votes.groupBy(*by).agg(F.max_by(found, order).alias("best"))
+
+
 def _roots(rows: DataFrame) -> DataFrame:
     """``(conv, turn, thread, depth)`` of messages that answer one.
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from opinion_spark.llm.quotes import link_quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -64,3 +66,44 @@ def test_nulls_empties_repeats_long_and_other_columns(table):
     assert sorted(r.position for r in by[3, 0]) == [0, 1] and by[3, 1][0].n_quotes == 0
     assert {r.reply_to for r in by[4, 1]} == {0}
     assert link_quotes(df.where("turn > 99")).count() == 0
+
+
+def test_every_level_is_linked(table):
+    rows = [
+        (1, 0, "u", "deepest words"),
+        (1, 1, "a", "> deepest words\nmiddle words"),
+        (1, 2, "u", ">> deepest words\n> middle words\nlast"),
+        (1, 3, "u", ">> deepest words\n> edited middle\nfourth"),
+        (1, 4, "u", ">>> deepest words"),
+        (2, 0, "u", "none"),
+    ]
+    by = {(r.conv_id, r.turn): r for r in link_quotes(table(rows, SCHEMA)).collect()}
+    quotes = {at: [tuple(q) for q in r.quotes] for at, r in by.items()}
+    assert quotes[1, 2] == [(2, 1, 0), (1, 1, 1)] and by[1, 2].reply_to == 1
+    assert quotes[1, 3] == [(2, 1, 0), (1, None, None)] and by[1, 3].reply_to == 0
+    assert quotes[1, 4] == [(3, 1, 0)] and by[1, 4].reply_to == 0 and by[1, 4].thread == 0
+    assert quotes[2, 0] == [] and by[2, 0].reply_to is None
+
+
+def quoting_replies(messages):
+    """``messages`` with a reply at the end of each conversation that quotes its last turn at level 1 and
+    its first at level 2, if there are two turns."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")
+    ends = messages.where("trim(text) <> ''").groupBy("conv_id").agg(turns).where(F.size("turns") > 1)
+    first, last = (F.col("turns")[0]["text"], F.element_at("turns", -1)["text"])
+    quoted = [
+        F.regexp_replace(F.concat(F.lit(marks + " "), text), "\n", f"\n{marks} ")
+        for marks, text in ((">>", first), (">", last))
+    ]
+    text = F.concat_ws("\n", *quoted, F.concat(F.lit("I agree, says "), "conv_id"))
+    turn = F.element_at("turns", -1)["turn"] + 1
+    return messages.unionByName(ends.select("conv_id", turn.alias("turn"), F.lit("user").alias("role"), text.alias("text")))
+
+
+def test_replies_derived_from_conversations(spark):
+    messages = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    got = [r for r in link_quotes(quoting_replies(messages)).collect() if r.n_quotes]
+    assert got
+    for r in got:
+        assert r.max_level == 2 and r.reply_to is not None and {q.level for q in r.quotes} == {1, 2}
+        assert all(q.origin_conv == r.conv_id and q.origin_turn < r.turn for q in r.quotes)
