@@ -146,8 +146,8 @@ def _said(placed: DataFrame) -> DataFrame:
 def _origins(quotes: DataFrame, said: DataFrame) -> DataFrame:
     """``(conv, turn, key, quotes, origin_conv, origin_turn)`` of messages that quote.
 
-    What is said is first reduced to one row per hash and conversation, and one per hash, so a common
-    line meets each quote once.
+    What is said is first reduced to one row per hash and conversation, and to the two smallest
+    conversations per hash, so a common line meets each quote once and one of the two is not its own.
     """
     asked = quotes.where("unit <> ''").select(
         "conv", "turn", "key", "level", "run", F.md5("unit").alias("hash"), F.length("unit").alias("weight")
@@ -156,13 +156,15 @@ def _origins(quotes: DataFrame, said: DataFrame) -> DataFrame:
     found = said.join(wanted, "hash").groupBy("hash", "conv").agg(F.min("turn").alias("turn"))
     found = stage(found, "said")
     near = found.withColumnRenamed("turn", "near_turn")
-    first = found.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
-    met = asked.join(near, ["hash", "conv"], "left").join(staged_lookup(first), "hash", "left")
+    least = F.min(F.struct("conv", "turn"))
+    first = staged_lookup(found.groupBy("hash").agg(least.alias("first")))
+    later = found.join(first, "hash").where(F.col("conv") != F.col("first.conv"))
+    second = later.groupBy("hash").agg(least.alias("second"))
+    firsts = staged_lookup(first.join(second, "hash", "left"))
+    met = asked.join(near, ["hash", "conv"], "left").join(firsts, "hash", "left")
     here = F.col("near_turn") < F.col("turn")
-    other = F.col("first.conv") != F.col("conv")
-    origin = F.when(here, F.struct(F.col("conv").alias("conv"), F.col("near_turn").alias("turn"))).when(
-        other, F.struct(F.col("first.conv").alias("conv"), F.col("first.turn").alias("turn"))
-    )
+    other = F.when(F.col("first.conv") != F.col("conv"), F.col("first")).otherwise(F.col("second"))
+    origin = F.when(here, F.struct(F.col("conv").alias("conv"), F.col("near_turn").alias("turn"))).otherwise(other)
     message, passage = ["conv", "turn", "key"], ["conv", "turn", "key", "level", "run"]
     votes = stage(
         met.withColumn("origin", origin)

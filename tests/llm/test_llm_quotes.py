@@ -107,3 +107,13 @@ def test_replies_derived_from_conversations(spark):
     for r in got:
         assert r.max_level == 2 and r.reply_to is not None and {q.level for q in r.quotes} == {1, 2}
         assert all(q.origin_conv == r.conv_id and q.origin_turn < r.turn for q in r.quotes)
+
+
+def test_an_origin_elsewhere_does_not_depend_on_the_order_of_ids(table):
+    rows = [(2, 0, "u", "X is said"), (1, 0, "u", "> X is said"), (1, 1, "u", "X is said")]
+    rows += [(3, 0, "u", "Y is said"), (4, 0, "u", "> Y is said"), (4, 1, "u", "Y is said")]
+    rows += [(5, 0, "u", "> Z is said\nZ is said"), (6, 3, "u", "Z is said"), (7, 0, "u", "Z is said")]
+    got = linked(table, rows)
+    assert got[1, 0][3:6] == (2, 0, None)
+    assert got[4, 0][3:6] == (3, 0, None)
+    assert got[5, 0][3:6] == (6, 3, None)
