@@ -18,31 +18,51 @@ WRITABLES = {
     "string": "org.apache.hadoop.io.Text",
 }
 
-PYTHON_TYPES = {"bigint": int, "int": int, "double": float, "string": str}
-
 
 def _paths(path: str | list[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
 
 def read_sequence(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Two-column table from SequenceFiles or folders of them."""
+    """Two-column table from SequenceFiles or folders of them.
+
+    Records go from the input format to rows inside the JVM, split where the files have sync marks;
+    no Python process sees them. A record of another class than the schema says reads as null.
+    """
     struct = T._parse_datatype_string(schema)
     kinds = [f.dataType.simpleString() for f in struct.fields]
-    to_key, to_value = (PYTHON_TYPES[k] for k in kinds)
     where = ",".join(_paths(path))
     records = spark.sparkContext.sequenceFile(where, *(WRITABLES[k] for k in kinds))
-    return spark.createDataFrame(records.map(lambda r: (to_key(r[0]), to_value(r[1]))), struct)
+    rows = spark._jvm.SerDeUtil.toJavaArray(records._to_java_object_rdd())
+    return DataFrame(spark._jsparkSession.applySchemaToPythonRDD(rows.rdd(), struct.json()), spark)
 
 
 def write_sequence(df: DataFrame, path: str) -> None:
-    """Two-column table to SequenceFiles, for tools that still read them.
+    """Two-column table to SequenceFiles that the batch jobs can read.
 
-    Spark takes the record class from each Python value, which would mix int and long records in
-    one file, so a bigint column is written as text. ``read_sequence`` reads both.
+    The record classes follow the column types, a bigint is a LongWritable whatever its size. Rows
+    become records inside the JVM and Hadoop's committer moves whole task files, so a task that is lost
+    leaves nothing. A null has no record class and fails the job.
     """
-    as_text = [F.col(c).cast("string") if t == "bigint" else F.col(c) for c, t in df.dtypes]
-    df.select(*as_text).rdd.map(tuple).saveAsSequenceFile(path)
+    jvm, (key, value) = df.sparkSession._jvm, df.dtypes
+    encoders = jvm.org.apache.spark.sql.Encoders
+    encoder = {"bigint": encoders.LONG, "int": encoders.INT, "double": encoders.DOUBLE, "string": encoders.STRING}
+    pairs = getattr(df._jdf, "as")(encoders.tuple(encoder[key[1]](), encoder[value[1]]())).rdd()
+    python = jvm.org.apache.spark.api.python
+    writable = python.JavaToWritableConverter()
+    records = python.PythonHadoopUtil.convertRDD(pairs, writable, writable)
+    classes = [_java_class(jvm, WRITABLES[kind]) for kind in (key[1], value[1])]
+    tags = [_companion(jvm.scala.reflect, "ClassTag").apply(c) for c in classes]
+    output = _java_class(jvm, "org.apache.hadoop.mapreduce.lib.output.SequenceFileOutputFormat")
+    jvm.org.apache.spark.api.java.JavaPairRDD.fromRDD(records, *tags).saveAsNewAPIHadoopFile(path, *classes, output)
+
+
+def _java_class(jvm, name: str):
+    return jvm.java.lang.Class.forName(name)
+
+
+def _companion(package, name: str):
+    return getattr(getattr(package, name + "$"), "MODULE$")
 
 
 def read_records(

@@ -29,6 +29,46 @@ def test_sequence_files(spark, table, tmp_path, schema, data):
     assert back.schema == table(data, schema).schema
 
 
+def _headers(path):
+    """What each file says of its records."""
+    return [f.read_bytes()[:120] for f in sorted(path.iterdir()) if f.name.startswith("part-")]
+
+
+def test_sequence_files_keep_the_record_classes(spark, table, tmp_path):
+    small = table([(1, "a"), (2, "b"), (9_000_000_000, "c")], schemas.RAW_POST)
+    files.write_sequence(small.repartition(2), str(tmp_path / "long"))
+    for head in _headers(tmp_path / "long"):
+        assert b"org.apache.hadoop.io.LongWritable" in head and b"org.apache.hadoop.io.Text" in head
+    files.write_sequence(table([("a", 1)], schemas.COUNTED_KEY), str(tmp_path / "int"))
+    assert all(b"org.apache.hadoop.io.IntWritable" in head for head in _headers(tmp_path / "int"))
+    # the batch jobs' own reader takes them for what they are
+    read = spark.sparkContext.sequenceFile(str(tmp_path / "long"), files.WRITABLES["bigint"], files.WRITABLES["string"])
+    assert sorted(read.collect()) == [(1, "a"), (2, "b"), (9_000_000_000, "c")]
+
+
+def test_sequence_files_are_split_and_read_without_python(spark, table, tmp_path):
+    path = str(tmp_path / "big")
+    data = spark.range(200_000).select(F.col("id"), F.repeat(F.lit("text "), 40).alias("line")).coalesce(1)
+    files.write_sequence(data, path)
+    back = files.read_sequence(spark, path, "id bigint, line string")
+    assert back.agg(F.count("*"), F.sum("id"), F.min(F.length("line"))).head() == (200_000, 19_999_900_000, 200)
+    assert back.rdd.getNumPartitions() > 1
+    assert "Python" not in back._jdf.queryExecution().executedPlan().toString().replace("applySchemaToPythonRDD", "")
+
+
+def test_failed_sequence_write_leaves_no_part_file(spark, table, tmp_path):
+    bad = table([(i, "x" if i < 90 else None) for i in range(100)], "id bigint, text string").repartition(4)
+    with pytest.raises(Exception, match="(?i)null"):
+        files.write_sequence(bad, str(tmp_path / "bad"))
+    assert not [f for f in (tmp_path / "bad").glob("part-*")]
+    assert not (tmp_path / "bad" / "_SUCCESS").exists()
+
+
+def test_empty_sequence_file(spark, table, tmp_path):
+    files.write_sequence(table([], schemas.RAW_POST), str(tmp_path / "none"))
+    assert files.read_sequence(spark, str(tmp_path / "none"), schemas.RAW_POST).count() == 0
+
+
 def test_sequence_files_of_long_records(spark, tmp_path):
     path = str(tmp_path / "long")
     big = [(6_000_000_000 + i, "{}") for i in range(3)]
