@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.text import contains_any, text_digest
+from opinion_spark.operators.terms import find_terms
 from opinion_spark.sources.posts import linked_urls, valid
 from opinion_spark.staging import stage, staged_lookup
 
@@ -31,32 +32,19 @@ def keyword_filter(posts: DataFrame, terms: Iterable[str]) -> DataFrame:
     return valid(posts).where((F.col("key") != 0) & contains_any(F.col("text"), terms))
 
 
-#: Characters that a term and a text must share before the whole term is looked for.
-GRAM = 3
+def _distinct_texts(posts: DataFrame) -> DataFrame:
+    """``(digest, text, posts)``: each text once, with the number of posts that have it."""
+    named = posts.where(F.col("text").isNotNull()).select(text_digest(F.col("text")).alias("digest"), "text")
+    return stage(named.groupBy("digest", "text").agg(F.count("*").alias("posts")), "texts")
 
 
-def _grams(text: Column, length: Column | int) -> Column:
-    """Distinct stretches of ``length`` characters."""
-    n = F.lit(length) if isinstance(length, int) else length
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, n)))
+def keyword_filter_by_table(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``keyword_filter`` for a table ``(term)`` of any size; empty terms match nothing.
 
-
-def keyword_filter_by_table(posts: DataFrame, terms: DataFrame, gram: int = GRAM) -> DataFrame:
-    """``keyword_filter`` for a table ``(term)`` of any size.
-
-    Distinct texts meet the terms at a short stretch of characters, the end of the term; only those
-    that meet are searched for the whole term. Empty terms match nothing.
+    Distinct texts are searched for all terms at once, posts meet the result by digest.
     """
-    length = F.least(F.length("term"), F.lit(gram))
-    ends = terms.where("term <> ''").select("term", length.alias("size")).distinct()
-    ends = staged_lookup(ends.withColumn("gram", F.expr("right(term, size)")))
     kept = valid(posts).where((F.col("key") != 0) & F.col("text").isNotNull())
-    texts = stage(kept.select(text_digest(F.col("text")).alias("digest"), "text").distinct(), "texts")
-    pieces = F.explode(F.flatten(F.array(*[_grams(F.col("text"), n) for n in range(1, gram + 1)])))
-    met = texts.select("digest", pieces.alias("gram")).join(ends, "gram").select("digest", "term")
-    found = met.join(texts, "digest").where(F.contains("text", F.col("term")))
-    hits = staged_lookup(found.select("digest").distinct())
+    hits = staged_lookup(find_terms(_distinct_texts(kept), terms).select("digest").distinct())
     digested = kept.withColumn("digest", text_digest(F.col("text")))
     return digested.join(hits, "digest", "left_semi").drop("digest")
 
@@ -79,6 +67,13 @@ def term_buzz(posts: DataFrame, terms: Iterable[str] = PARTY_NAMES) -> DataFrame
     return totals.select(F.stack(F.lit(len(terms)), *cells).alias("term", "n")).where("n > 0")
 
 
+def term_buzz_by_table(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term_buzz`` for a table ``(term)`` of any size; empty terms match nothing."""
+    texts = _distinct_texts(valid(posts))
+    found = find_terms(texts, terms).join(texts.select("digest", "posts"), "digest")
+    return found.groupBy("term").agg(F.sum("posts").alias("n"))
+
+
 def topic_url_user(posts: DataFrame, topics: Iterable[str]) -> DataFrame:
     """One ``(url, key)`` row for each link in a post on the topics; repeats stay."""
     return linked_urls(topic_posts(posts, topics), "key")
