@@ -15,7 +15,7 @@ import oracles  # noqa: E402
 from opinion_spark import fixtures as fx  # noqa: E402
 from opinion_spark.functions.urls import trim_url  # noqa: E402
 from opinion_spark.operators import counts, item_sets, keywords, links  # noqa: E402
-from opinion_spark.operators import network, opinion, reshares, similarity  # noqa: E402
+from opinion_spark.operators import network, opinion, reshares, similarity, top_links  # noqa: E402
 from opinion_spark.operators.redirects import resolve_redirects  # noqa: E402
 from opinion_spark.plans import chains  # noqa: E402
 from opinion_spark.sources.files import side_list  # noqa: E402
@@ -41,6 +41,7 @@ class Params:
     RT_USERS = 10
     RT_JACCARD = 0.15
     PART_JACCARD = 0.3
+    TOP_LINKS = 5
     USER_TEXTS = 10
     TITLE_MENTIONS = 8
     FOLLOW_LIMIT = 1200
@@ -218,6 +219,9 @@ def _jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "keyword_filter_by_table": lambda s, d: keywords.keyword_filter_by_table(
             _text_posts(s, d), fx.term_table(s, d)
         ).select("key", "tweet_id", "text"),
+        "term_buzz_by_table": lambda s, d: keywords.term_buzz_by_table(
+            _text_posts(s, d), fx.term_table(s, d)
+        ),
         "term_buzz": lambda s, d: keywords.term_buzz(_text_posts(s, d), fx.BUZZ_TERMS),
         "url_count": _url_counts,
         "url_freq": lambda s, d: counts.histogram(_url_counts(s, d)),
@@ -251,6 +255,9 @@ def _jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "jaccard_links": lambda s, d: _rounded(
             similarity.jaccard_links(fx.part_sets(s, d), P.PART_JACCARD), "jaccard"
         ),
+        "jaccard_top_links": lambda s, d: _rounded(
+            top_links.top_links(fx.part_sets(s, d), P.TOP_LINKS), "jaccard"
+        ),
         "jaccard_links_dec": lambda s, d: _rounded(
             chains.reshare_network(_shared_posts(s, d), P.RT_USERS, P.RT_JACCARD), "jaccard"
         ),

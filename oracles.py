@@ -311,6 +311,12 @@ named AS (
   SELECT DISTINCT text FROM (SELECT DISTINCT text FROM texts) JOIN terms ON contains(text, term))
 SELECT key, tweet_id, text FROM texts SEMI JOIN named USING (text)
 WHERE tweet_id IS NOT NULL AND key <> 0""",
+        "term_buzz_by_table": f"""WITH {POSTS}, {TEXTS},
+terms AS (
+  SELECT DISTINCT term FROM (SELECT unnest(string_split(text, ' ')) AS term FROM benchmark)
+  WHERE length(term) >= {fx.TERM_LENGTH}),
+counted AS (SELECT text, count(*) AS n FROM texts WHERE tweet_id IS NOT NULL GROUP BY text)
+SELECT term, CAST(sum(n) AS BIGINT) AS n FROM counted JOIN terms ON contains(text, term) GROUP BY term""",
         "term_buzz": f"WITH {POSTS}, {TEXTS} " + " UNION ALL ".join(
             f"SELECT '{t}' AS term, count(*) AS n FROM texts WHERE contains(text, '{t}') "
             "HAVING count(*) > 0"
@@ -361,6 +367,14 @@ edges AS (
         "jaccard_of_pairs":
             f"WITH {_retweets(p.RT_USERS)}, {_links(p.RT_JACCARD)} {ROUNDED}",
         "jaccard_links": f"WITH {PART_EDGES}, {_links(p.PART_JACCARD)} {ROUNDED}",
+        "jaccard_top_links": f"""WITH {PART_EDGES}, {_links(0)},
+both AS (
+  SELECT item1 AS item, item2 AS other, jaccard FROM links
+  UNION ALL SELECT item2, item1, jaccard FROM links),
+ranked AS (
+  SELECT item, row_number() OVER (PARTITION BY item ORDER BY jaccard DESC, other) AS rank, other, jaccard
+  FROM both)
+SELECT item, rank, other, round(jaccard, 9) AS jaccard FROM ranked WHERE rank <= {p.TOP_LINKS}""",
         "jaccard_links_dec": f"""WITH {_retweets(p.RT_USERS)}, {_links(p.RT_JACCARD)},
 names AS (SELECT DISTINCT item, text FROM edges),
 plain AS (
