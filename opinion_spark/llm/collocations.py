@@ -5,10 +5,10 @@ From every word a window leads over the words behind it in its piece, padded at
 counts of all shorter phrases, each of which is the prefix of exactly the windows that start with it,
 and to the number of words.
 
-A phrase that is frequent has frequent words and frequent pairs alone. One pass counts the hashes of words and
-pairs; the frequent ones become a bitmap of fixed size, and a window ends before the first word or
-pair that is not in it. No occurrence of a frequent phrase is lost by that, and windows that differ in
-rare words only are counted together.
+A phrase that is frequent has frequent words, pairs and triples alone. One pass counts the hashes of words
+and pairs, a second those of triples of frequent pairs; the frequent ones become a bitmap of fixed size,
+and a window ends before the first word, pair or triple that is not in it. No occurrence of a frequent phrase is lost by
+that, and windows that differ in rare words only are counted together.
 """
 
 from __future__ import annotations
@@ -130,48 +130,62 @@ def _each_chunk(batch: pa.RecordBatch, ahead: int, size: int) -> Iterator[tuple[
             yield tokens, numbers[first:], langs, first
 
 
-def _supports(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``(hash, n)``: how often each word and each pair occurs, by chunk."""
+def _is_frequent(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64(BITS - 1)
+    byte = bitmap[(place >> np.uint64(3)).astype(np.int64)]
+    return (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _ahead(flags: np.ndarray, by: int) -> np.ndarray:
+    """What is ``by`` places further on."""
+    moved = np.zeros_like(flags)
+    moved[: max(len(flags) - by, 0)] = flags[by:]
+    return moved
+
+
+def _lengths(tokens: Tokens, prefixes: list[np.ndarray], bitmap: np.ndarray, triples: bool) -> np.ndarray:
+    """How many words the window of each word has: all of its words, pairs and, if they are known,
+    triples are frequent."""
+    word = _is_frequent(bitmap, prefixes[0])
+    pair = tokens.joined & _is_frequent(bitmap, prefixes[1]) & _ahead(word, 1)
+    going, length = word, word.astype(np.int64)
+    for j in range(1, len(prefixes)):
+        going = going & _ahead(pair, j - 1)
+        if triples and j > 1:
+            going &= _ahead(_is_frequent(bitmap, prefixes[2]), j - 2)
+        length += going
+    return length
+
+
+def _supports(size: int, pairs=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(hash, n)``: how often each word and each pair occurs, by chunk; where the frequent ``pairs`` are
+    known, each triple that is made of such."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tokens, langs, _, _ in _each_chunk(batch, 1, size):
-                one, two = _prefixes(tokens, langs, 2)
+            for tokens, langs, _, _ in _each_chunk(batch, 1 if pairs is None else 2, size):
                 own = slice(0, tokens.own)
-                both = np.concatenate([one[own], two[own][tokens.joined[own]]])
-                found, n = np.unique(both, return_counts=True)
+                if pairs is None:
+                    one, two = _prefixes(tokens, langs, 2)
+                    keys = np.concatenate([one[own], two[own][tokens.joined[own]]])
+                else:
+                    prefixes = list(_prefixes(tokens, langs, 3))
+                    keys = prefixes[2][own][_lengths(tokens, prefixes, pairs.value, False)[own] == 3]
+                found, n = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["hash", "n"])
 
     return run
 
 
 def _windows(frequent, words: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``(lang, w1.., n)``: the longest windows of frequent words and pairs, by chunk."""
-
-    def is_frequent(keys: np.ndarray) -> np.ndarray:
-        place = keys & np.uint64(BITS - 1)
-        byte = frequent.value[(place >> np.uint64(3)).astype(np.int64)]
-        return (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-    def lengths(tokens: Tokens, prefixes: list[np.ndarray]) -> np.ndarray:
-        """How many words each window has."""
-        word = is_frequent(prefixes[0])
-        linked = tokens.joined & is_frequent(prefixes[1])
-        linked[:-1] &= word[1:]
-        going, length = word, word.astype(np.int64)
-        for j in range(words - 1):
-            step = np.zeros_like(linked)
-            step[: max(len(linked) - j, 0)] = linked[j:]
-            going = going & step
-            length += going
-        return length
+    """``(lang, w1.., n)``: the longest windows of frequent words, pairs and triples, by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", *columns(words), "n"]
         for batch in batches:
             for tokens, numbers, langs, first in _each_chunk(batch, words - 1, size):
                 prefixes = list(_prefixes(tokens, numbers, words))
-                length = lengths(tokens, prefixes)[: tokens.own]
+                length = _lengths(tokens, prefixes, frequent.value, True)[: tokens.own]
                 # windows of no frequent word differ by language alone
                 keys = numbers[tokens.doc[: tokens.own]].copy()
                 for j, prefix in enumerate(prefixes):
@@ -190,15 +204,16 @@ def columns(words: int) -> list[str]:
     return [f"w{j}" for j in range(1, words + 1)]
 
 
-def frequent_bitmap(texts: DataFrame, min_count: int, size: int = CHUNK) -> np.ndarray:
-    """One bit for each hash of a word or pair that occurs ``min_count`` times; others may share it.
+def _bitmap(supports: DataFrame, min_count: int) -> np.ndarray:
+    """One bit for each hash that is counted ``min_count`` times; others may share it.
 
     At most ``BITS`` bits reach the driver, as rows of ``ROW_BITS``.
     """
-    supports = texts.mapInArrow(_supports(size), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     place = F.col("hash").bitwiseAND(F.lit(BITS - 1))
     rows = (
-        supports.where(F.col("n") >= min_count)
+        supports.groupBy("hash")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= min_count)
         .select(F.floor(place / ROW_BITS).alias("row"), (place % ROW_BITS).alias("bit"))
         .groupBy("row")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
@@ -209,6 +224,16 @@ def frequent_bitmap(texts: DataFrame, min_count: int, size: int = CHUNK) -> np.n
     return bitmap.reshape(-1)
 
 
+def frequent_bitmap(texts: DataFrame, min_count: int, size: int = CHUNK) -> np.ndarray:
+    """The bits of all frequent words, pairs, and triples of frequent pairs."""
+    counts, context = "hash bigint, n bigint", texts.sparkSession.sparkContext
+    pairs = _bitmap(texts.mapInArrow(_supports(size), counts), min_count)
+    known = context.broadcast(pairs)
+    triples = _bitmap(texts.mapInArrow(_supports(size, known), counts), min_count)
+    known.unpersist()
+    return pairs | triples
+
+
 def phrase_counts(
     docs: DataFrame,
     text: str = "text",
@@ -245,6 +270,7 @@ def _scored(phrases: DataFrame) -> DataFrame:
     """``(lang, phrase, words, m, a, score, l, r, n)``: every phrase of two words or more at its lowest cut."""
     counts = phrases.where("m > 0").select("lang", "phrase", "a")
     totals = phrases.where("m = 0").select("lang", F.col("a").alias("n"))
+    totals = staged_lookup(totals)
     cuts = phrases.where("m > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m") - 1)))
     left = F.array_join(F.slice("words", F.lit(1), F.col("k")), " ")
     right = F.array_join(F.slice("words", F.col("k") + 1, F.col("m") - F.col("k")), " ")
