@@ -67,7 +67,9 @@ def _with_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = documents.select(F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
     own_id = F.col("event_id") % _rows(documents)
-    return rows.withColumn("own_id", own_id).join(own, "own_id", "left")
+    # the events come from one small file: deal out their short rows before texts are joined to them
+    spread = rows.repartition(spark.sparkContext.defaultParallelism)
+    return spread.withColumn("own_id", own_id).join(own, "own_id", "left")
 
 
 def _with_reshared_texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as html_names
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -10,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opinion_spark.functions.entities import unescaped
+
 
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
     """True when ``text`` holds at least one of ``terms`` (case-sensitive, literal)."""
@@ -42,16 +43,6 @@ def strict_long(token: Column) -> Column:
     return F.when(token.rlike(r"^[+-]?[0-9]+$"), token.try_cast("bigint"))
 
 
-def unescaped(text: Column) -> Column:
-    """HTML entities as characters, all that the standard names; batches go through Python."""
-
-    @F.pandas_udf("string")
-    def unescape(values):
-        return values.map(html_names.unescape, na_action="ignore")
-
-    return unescape(text)
-
-
 def html_title(html: Column) -> Column:
     """Text of the first title element, NULL when the page has none."""
     title = F.regexp_substr(html, F.lit(r"(?is)<title[^>]*>.*?</title>"))
