@@ -6,7 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracles  # noqa: E402
 from opinion_spark import fixtures as fx  # noqa: E402
 from opinion_spark.functions.urls import trim_url  # noqa: E402
-from opinion_spark.operators import counts, item_sets, keywords, links  # noqa: E402
+from opinion_spark.operators import audiences, counts, item_sets, keywords, links  # noqa: E402
 from opinion_spark.operators import network, opinion, reshares, similarity, top_links  # noqa: E402
 from opinion_spark.operators.redirects import resolve_redirects  # noqa: E402
 from opinion_spark.plans import chains  # noqa: E402
@@ -109,6 +109,23 @@ def _url_refer(spark: SparkSession, d: str) -> DataFrame:
     return links.url_refer(_url_posts(spark, d), redirects, P.URL_USERS)
 
 
+def _url_edges(spark: SparkSession, d: str) -> DataFrame:
+    return linked_urls(_url_posts(spark, d), "user_id").withColumnRenamed("url", "item").where("user_id IS NOT NULL")
+
+
+def _numbered_url_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    edges = _url_edges(spark, d)
+    return edges, audiences.user_numbers(edges)
+
+
+def _host(url: str) -> Column:
+    return F.coalesce(F.get(F.split(url, "/"), 2), F.lit(""))
+
+
+def _url_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    return audiences.audience_bitmaps(*_numbered_url_edges(spark, d))
+
+
 def _url_sets(spark: SparkSession, d: str) -> DataFrame:
     return item_sets.item_sets(_url_refer(spark, d).withColumnRenamed("url", "item"))
 
@@ -267,6 +284,16 @@ def _jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             ),
             "jaccard",
         ),
+        "audience_sizes": lambda s, d: audiences.audience_sizes(_url_bitmaps(s, d)),
+        "audience_sizes_by_host": lambda s, d: audiences.audience_sizes(
+            audiences.rolled_up(_url_bitmaps(s, d).withColumn("host", _host("item")), ["host"]), ["host"]
+        ),
+        "items_at_least": lambda s, d: audiences.items_at_least(
+            *_numbered_url_edges(s, d), P.URL_USERS
+        ),
+        "frequent_edges": lambda s, d: item_sets.at_least(
+            item_sets.may_reach(_url_edges(s, d), "item", P.URL_USERS), "item", P.URL_USERS
+        ),
         # reshares and opinions
         "retweet_sets": lambda s, d: _joined_users(
             reshares.retweet_sets(_shared_posts(s, d), P.RT_USERS)

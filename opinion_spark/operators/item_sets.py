@@ -29,6 +29,23 @@ def at_least(edges: DataFrame, item: str, th: int) -> DataFrame:
     return stage(distinct.join(staged_lookup(sizes), item), "kept")
 
 
+#: Cells of the counters that ``may_reach`` broadcasts at most, 16 bytes each.
+CELLS = 1 << 20
+
+
+def may_reach(edges: DataFrame, item: str, th: int, cells: int = CELLS) -> DataFrame:
+    """``edges`` without those of items that cannot have ``th`` members.
+
+    Rows are counted by a hash of the item into a fixed number of cells, before any pair is shuffled.
+    A cell counts every row of its items, so one below ``th`` holds no item to keep; no other item is lost.
+    Of long tails of rare items little is left to make distinct. Null items are left out.
+    """
+    cell = F.pmod(F.xxhash64(item), F.lit(cells))
+    counted = edges.where(F.col(item).isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    full = stage(counted.where(F.col("n") >= th).select("cell"), "cells")  # at most ``cells`` rows
+    return edges.withColumn("cell", cell).join(F.broadcast(full), "cell", "left_semi").drop("cell")
+
+
 def pack(
     edges: DataFrame,
     key: str,

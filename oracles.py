@@ -115,6 +115,13 @@ edges AS (SELECT sha256(encode(text)) AS item, text, user_id FROM shares JOIN ke
 encoded AS (SELECT base64(encode(text)) AS item, user_id FROM edges)"""
 
 
+def _kept_edges(th: int) -> str:
+    return f"""WITH {POSTS}, {URLS},
+pairs AS (SELECT DISTINCT url AS item, user_id FROM urls WHERE user_id IS NOT NULL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY item) AS n FROM pairs)
+SELECT item, user_id, n FROM sized WHERE n >= {th}"""
+
+
 def _links(th: float) -> str:
     """CTEs that end in links(item1, item2, jaccard) for edges(item, user_id)."""
     return f"""
@@ -368,12 +375,12 @@ edges AS (
             f"WITH {_retweets(p.RT_USERS)}, {_links(p.RT_JACCARD)} {ROUNDED}",
         "jaccard_links": f"WITH {PART_EDGES}, {_links(p.PART_JACCARD)} {ROUNDED}",
         "jaccard_top_links": f"""WITH {PART_EDGES}, {_links(0)},
-both AS (
+directed AS (
   SELECT item1 AS item, item2 AS other, jaccard FROM links
   UNION ALL SELECT item2, item1, jaccard FROM links),
 ranked AS (
   SELECT item, row_number() OVER (PARTITION BY item ORDER BY jaccard DESC, other) AS rank, other, jaccard
-  FROM both)
+  FROM directed)
 SELECT item, rank, other, round(jaccard, 9) AS jaccard FROM ranked WHERE rank <= {p.TOP_LINKS}""",
         "jaccard_links_dec": f"""WITH {_retweets(p.RT_USERS)}, {_links(p.RT_JACCARD)},
 names AS (SELECT DISTINCT item, text FROM edges),
@@ -384,6 +391,13 @@ SELECT {_one_line('text1')} AS item1, {_one_line('text2')} AS item2, round(jacca
 FROM plain""",
         "link_network": f"""WITH RECURSIVE {_url_refer(p.URL_USERS)},
 edges AS (SELECT url AS item, user_id FROM url_refer), {_links(p.URL_JACCARD)} {ROUNDED}""",
+        "audience_sizes": f"""WITH {POSTS}, {URLS}
+SELECT url AS item, count(DISTINCT user_id) AS n FROM urls WHERE user_id IS NOT NULL GROUP BY url""",
+        "audience_sizes_by_host": f"""WITH {POSTS}, {URLS}
+SELECT split_part(url, '/', 3) AS host, count(DISTINCT user_id) AS n
+FROM urls WHERE user_id IS NOT NULL GROUP BY 1""",
+        "items_at_least": _kept_edges(p.URL_USERS),
+        "frequent_edges": _kept_edges(p.URL_USERS),
         "retweet_sets": f"WITH {_retweets(p.RT_USERS)} {_sets('encoded')}",
         "user_rt_freq": f"""WITH {_retweets(p.RT_USERS)}
 SELECT user_id, count(*) AS value FROM edges GROUP BY 1 HAVING count(*) >= {p.USER_TEXTS}""",
