@@ -15,7 +15,7 @@ import oracles  # noqa: E402
 from opinion_spark import fixtures as fx  # noqa: E402
 from opinion_spark.functions.urls import trim_url  # noqa: E402
 from opinion_spark.operators import audiences, counts, item_sets, keywords, links  # noqa: E402
-from opinion_spark.operators import network, opinion, reshares, similarity, top_links  # noqa: E402
+from opinion_spark.operators import hubs, network, opinion, reshares, similarity, top_links  # noqa: E402
 from opinion_spark.operators.redirects import resolve_redirects  # noqa: E402
 from opinion_spark.plans import chains  # noqa: E402
 from opinion_spark.sources.files import side_list  # noqa: E402
@@ -45,6 +45,7 @@ class Params:
     USER_TEXTS = 10
     TITLE_MENTIONS = 8
     FOLLOW_LIMIT = 1200
+    PART_TOKENS = 8
 
 
 P = Params
@@ -328,6 +329,9 @@ def _jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "follow_rows": lambda s, d: network.follow_rows(
             network.simplify_all(_net(s, d), follow_limit=None)
         ),
+        "follow_rows_of_parts": lambda s, d: network.follow_rows(
+            hubs.simplify_parts(fx.raw_network_parts(s, d, P.PART_TOKENS), follow_limit=None)
+        ),
         "annotate_following": lambda s, d: network.annotate_following(
             _net(s, d), _uf(s, d), follow_limit=P.FOLLOW_LIMIT
         ),

@@ -243,6 +243,15 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.join(followers, "id", "left").select("id", count.alias("n_followers"))
 
 
+def _profile(n_following: Column) -> Column:
+    lang = (
+        F.when(F.col("c_nationkey") % 2 == 0, "ja")
+        .when(F.col("c_nationkey") % 3 == 0, "JA")
+        .otherwise("en")
+    )
+    return F.to_json(F.struct("id", lang.alias("lang"), (n_following * 100).alias("friends_count")))
+
+
 def raw_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ``(profile, csv)`` records, one per account whatever its size, as a crawl delivers them."""
     edges = _follow_edges(spark, sf_dir)
@@ -260,18 +269,7 @@ def raw_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = customers.join(lists, "id", "left")
     n_following = F.coalesce(F.size("following"), F.lit(0))
     n_followers = F.coalesce(F.size("followers"), F.lit(0))
-    lang = (
-        F.when(F.col("c_nationkey") % 2 == 0, "ja")
-        .when(F.col("c_nationkey") % 3 == 0, "JA")
-        .otherwise("en")
-    )
-    profile = F.to_json(
-        F.struct(
-            "id",
-            lang.alias("lang"),
-            (n_following * 100).alias("friends_count"),
-        )
-    )
+    profile = _profile(n_following)
 
     def ids(name: str) -> Column:
         return F.nullif(F.array_join(F.col(name).cast("array<string>"), ","), F.lit(""))
@@ -284,6 +282,37 @@ def raw_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_network_parts(spark: SparkSession, sf_dir: str, part_tokens: int) -> DataFrame:
+    """The same accounts as ``(profile, part, csv)`` records in parts of about ``part_tokens`` ids.
+
+    Part 0 has the counts, ids are dealt to the others by their hash, so no account is ever in one row.
+    """
+    edges = _follow_edges(spark, sf_dir)
+    sides = {"followers": ("followee", "user_id"), "following": ("user_id", "followee")}
+    ids = {
+        name: edges.select(F.col(key).alias("id"), F.col(value).alias("token")) for name, (key, value) in sides.items()
+    }
+    heads = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_acctbal")
+    for name, rows in ids.items():
+        counts = rows.groupBy("id").agg(F.count("*").alias(f"n_{name}"))
+        heads = heads.join(counts, "id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    heads = stage(heads.withColumn("profile", _profile(F.col("n_following"))), "heads")
+    public = F.concat_ws(",", "id", "n_followers", "n_following")
+    protected = F.concat_ws(",", F.col("id"), F.lit("-1,-1"))
+    csv = F.when(F.col("c_acctbal") < 0, protected).otherwise(public)
+    found = heads.select("profile", F.lit(0).alias("part"), csv.alias("csv"))
+    first = F.lit(1).cast("bigint")
+    for name, rows in ids.items():
+        n_parts = F.ceil(F.col(f"n_{name}") / part_tokens)
+        listed = heads.where("c_acctbal >= 0").select("id", "profile", first.alias("first"), n_parts.alias("n_parts"))
+        dealt = rows.join(listed, "id").withColumn("part", F.col("first") + F.pmod(F.xxhash64("token"), F.col("n_parts")))
+        lists = dealt.groupBy("profile", "part").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+        own = F.array_join(F.col("tokens").cast("array<string>"), ",").alias("csv")
+        found = found.unionByName(lists.select("profile", F.col("part").cast("int").alias("part"), own))
+        first = first + n_parts
+    return found
+
+
 def uf_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency list: customers by number of orders."""
     counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"))

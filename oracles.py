@@ -433,6 +433,8 @@ WHERE friends_count < {p.FOLLOW_LIMIT} AND id IN (SELECT user_id FROM uf)""",
         "simplify_all": f"""WITH {NETWORK} SELECT id, following FROM net
 WHERE NOT protected AND friends_count < {p.FOLLOW_LIMIT}""",
         "follow_rows": f"""WITH {NETWORK}
+SELECT id AS user_id, followee FROM net LEFT JOIN fe ON fe.user_id = id WHERE NOT protected""",
+        "follow_rows_of_parts": f"""WITH {NETWORK}
 SELECT id AS user_id, followee FROM net LEFT JOIN fe ON fe.user_id = id WHERE NOT protected""",
         "annotate_following": f"""WITH {NETWORK},
 marked AS (
