@@ -3,7 +3,7 @@
 Candidates are long runs of one character class. A window slides over each; the counts of its
 characters change by one character in and one out, and with them the sum of ``c * log2(c)``, from
 which the Shannon entropy follows. Sums are integers, so nothing drifts over long strings.
-Candidates that an allow-list names are suppressed. DataFrame functions only; texts are never
+Stretches that an allow-list names are suppressed. DataFrame functions only; texts are never
 moved, each row is judged where it is read.
 """
 
@@ -64,15 +64,18 @@ CLASSES = (
     CharClass("entropy_hex", DIGITS + "abcdefABCDEF", 3.0),
     CharClass("entropy_base64", UPPER + LOWER + DIGITS + "+/_=-", 4.0),
 )
-#: Candidates that hold one of these are no secrets: placeholders, plain counting, bare numbers.
+#: Placeholders and plain counting. The stretch between separators that holds one is no secret; what
+#: stands before and behind it is judged on its own.
 ALLOWED = (
-    r"^[0-9]+$",
     _either("example"),
     _either("placeholder"),
     _either("changeme"),
     r"0123456789",
     _either("abcdefgh"),
 )
+ALLOWED_STRETCH = rf"[^/=_-]*(?:{'|'.join(ALLOWED)})[^/=_-]*"
+#: Nor are these.
+BARE_NUMBER = r"^[0-9]+$"
 
 
 def _starts(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -165,14 +168,27 @@ def _high_window(chars: Column, c: CharClass) -> Column:
     )
 
 
+def _unlisted(run: Column, start: Column) -> Column:
+    """The parts ``(match, start)`` of a run that the allow-list leaves."""
+    listed, at = _starts(run, ALLOWED_STRETCH)
+    behind = F.zip_with(at, listed, lambda i, x: i + F.length(x))
+    begins = F.concat(F.array(F.lit(0)), behind)
+    parts = F.zip_with(
+        F.split(run, ALLOWED_STRETCH, -1),
+        begins,
+        lambda part, i: F.struct(part.alias("match"), (start + i).alias("start")),
+    )
+    whole = F.array(F.struct(run.alias("match"), start.alias("start")))
+    return F.when(run.rlike("|".join(ALLOWED)), parts).otherwise(whole)
+
+
 def _entropy_spans(text: Column, c: CharClass, rank: int) -> Column:
-    """From the first to the last window of high entropy in each candidate not on the allow-list."""
+    """From the first to the last window of high entropy in each candidate, without what the allow-list
+    names."""
     found, starts = _starts(text, c.pattern)
-    allowed = "|".join(ALLOWED)
-    candidates = F.filter(
-        F.arrays_zip(found.alias("match"), starts.alias("start")),
-        lambda x: ~x["match"].rlike(allowed),
-    )
+    runs = F.arrays_zip(found.alias("match"), starts.alias("start"))
+    parts = F.flatten(F.transform(runs, lambda x: _unlisted(x["match"], x["start"])))
+    candidates = F.filter(parts, lambda x: (F.length(x["match"]) >= c.window) & ~x["match"].rlike(BARE_NUMBER))
     judged = F.transform(
         candidates,
         lambda x: F.struct(x["start"].alias("start"), _high_window(F.split(x["match"], ""), c).alias("w")),
@@ -284,14 +300,20 @@ def secrets_sql(docs: str) -> str:
             f"lambda ch: {table}[1 + {c.window} - length(replace(substring(match, "
             f"CAST(i + 1 AS BIGINT), {c.window}), ch, ''))])))"
         )
-        allowed = "|".join(ALLOWED)
+        listed = quoted(ALLOWED_STRETCH)
+        parts = f"""SELECT doc_id, p.match AS match, start + p.ahead AS start FROM (
+      SELECT doc_id, start, unnest(list_transform(pieces, lambda x, i: {{'match': x, 'ahead':
+        coalesce(list_sum(list_transform(pieces[1:i - 1], lambda p: length(p))), 0)
+        + coalesce(list_sum(list_transform(stretches[1:i - 1], lambda p: length(p))), 0)}})) AS p
+      FROM (SELECT doc_id, start, string_split_regex(match, {listed}) AS pieces,
+        regexp_extract_all(match, {listed}) AS stretches FROM ({found(c.kind, rank, c.pattern)})))
+    WHERE length(p.match) >= {c.window} AND NOT regexp_matches(p.match, '{BARE_NUMBER}')"""
         return f"""
   SELECT doc_id, {rank} AS rank, '{c.kind}' AS kind, match, start + high[1] AS start,
     start + high[-1] + {c.window} AS "end"
   FROM (SELECT doc_id, match, start, list_filter(range(0, len(sums)), lambda i: sums[i + 1] <= {c.most})
       AS high
-    FROM (SELECT doc_id, match, start, {sums} AS sums
-      FROM ({found(c.kind, rank, c.pattern)}) WHERE NOT regexp_matches(match, {quoted(allowed)})))
+    FROM (SELECT doc_id, match, start, {sums} AS sums FROM ({parts})))
   WHERE len(high) > 0"""
 
     parts = [found(k, i, p) for i, (k, p) in enumerate(zip(KINDS, (ASSIGN, ACCESS, HEX), strict=True))]
