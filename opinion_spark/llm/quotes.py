@@ -137,7 +137,9 @@ def _own_texts(quoting: DataFrame) -> DataFrame:
 
 def _said(placed: DataFrame) -> DataFrame:
     """``(hash, conv, turn)``: what each message says itself, as a whole, in passages and in lines."""
-    own = _passages(_lines(placed.select("conv", "turn", "key", "text"))).where("level = 0")
+    # a repeated row says everything once
+    rows = placed.select("conv", "turn", "key", "text").distinct()
+    own = _passages(_lines(rows)).where("level = 0")
     whole = _joined(own, "conv", "turn", "key").select("conv", "turn", "unit")
     units = _units(own).select("conv", "turn", "unit").unionByName(whole)
     return units.where("unit <> ''").select(F.md5("unit").alias("hash"), "conv", "turn")

@@ -1,3 +1,8 @@
+import random
+import re
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from opinion_spark.llm.quotes import link_quotes
@@ -117,3 +122,132 @@ def test_an_origin_elsewhere_does_not_depend_on_the_order_of_ids(table):
     assert got[1, 0][3:6] == (2, 0, None)
     assert got[4, 0][3:6] == (3, 0, None)
     assert got[5, 0][3:6] == (6, 3, None)
+
+
+def normal(text):
+    return re.sub(r"\s+", " ", text).strip(" ").lower()
+
+
+def passages_of(text):
+    """Runs of lines of one depth: [(level, [bodies])]."""
+    found, level, open_run = [], None, False
+    for line in text.split("\n"):
+        marks = re.match(r"(?:[ \t]{0,3}>)*", line).group()
+        depth, body = marks.count(">"), line[len(marks) :]
+        if depth != level or not body.strip(" "):
+            open_run = False
+        level = depth
+        if body.strip(" "):
+            if not open_run:
+                found.append((depth, []))
+                open_run = True
+            found[-1][1].append(body)
+    return found
+
+
+def units_of(bodies):
+    return [normal(" ".join(bodies)), *map(normal, bodies)]
+
+
+def plain_links(rows):
+    """``{(conv, turn, text): (quotes, origin, reply_to, depth)}``, one message after the other."""
+    messages = {(c, t, x or "") for c, t, _, x in rows}
+    said = {}
+    for conv, turn, text in messages:
+        own = [b for level, b in passages_of(text) if level == 0]
+        whole = [normal(" ".join(x for b in own for x in b))]
+        for unit in {u for b in own for u in units_of(b)} | set(whole):
+            if unit:
+                turns = said.setdefault(unit, {})
+                turns[conv] = min(turn, turns.get(conv, turn))
+
+    def origin(unit, conv, turn):
+        turns = said.get(unit, {})
+        if turns.get(conv, turn) < turn:
+            return conv, turns[conv]
+        others = [(c, t) for c, t in turns.items() if c != conv]
+        return min(others) if others else None
+
+    def best(votes, conv):
+        order = lambda o: (o[0] == conv, votes[o], o[1], -o[0])
+        return max(votes, key=order) if votes else None
+
+    found, parents = {}, {}
+    for conv, turn, text in messages:
+        quotes, by_level = [], {}
+        for level, bodies in passages_of(text):
+            if level:
+                votes = Counter()
+                for unit in units_of(bodies):
+                    at = origin(unit, conv, turn) if unit else None
+                    if at:
+                        votes[at] += len(unit)
+                        by_level.setdefault(level, Counter())[at] += len(unit)
+                quotes.append((level, *(best(votes, conv) or (None, None))))
+        source = best(by_level[min(by_level)], conv) if by_level else None
+        reply = source[1] if source and source[0] == conv else None
+        found[conv, turn, text] = [quotes, source or (None, None), reply]
+        if reply is not None:
+            parents[conv, turn] = min(reply, parents.get((conv, turn), reply))
+    for (conv, turn, _), values in found.items():
+        depth = 0
+        while (conv, turn) in parents:
+            turn, depth = parents[conv, turn], depth + 1
+        values += [turn, depth]
+    return found
+
+
+def random_conversations(seed):
+    """Nested quotes of earlier messages, re-wrapped, cut, edited, from other conversations, repeated rows."""
+    rng = random.Random(seed)
+    words = ["yes", "no", "thanks", "alpha", "beta", "Gamma", "delta", "the", "of"]
+
+    def wrapped(tokens):
+        lines, at = [], 0
+        while at < len(tokens):
+            n = rng.randrange(1, 6)
+            lines.append((" " if rng.random() < 0.7 else "  ").join(tokens[at : at + n]))
+            at += n
+        return lines
+
+    rows = []
+    for conv in range(1, 9):
+        own = []
+        for turn in range(rng.randrange(1, 7)):
+            lines = []
+            for _ in range(rng.randrange(0, 3)):
+                source = rng.choice(rows)[3] if rows and rng.random() < 0.3 else (rng.choice(own) if own else "nobody said")
+                body = [x for level, b in passages_of(source) if level == 0 for x in b] or ["empty"]
+                tokens = " ".join(body).split()
+                if rng.random() < 0.2:
+                    tokens[-1] = "edited"
+                marks = rng.choice([">", ">", ">>", "> >", ">>>"])
+                quoted = wrapped(tokens) if rng.random() < 0.5 else body
+                lines += [f"{marks} {x}" for x in quoted] + rng.choice([[], ["> "], [""]])
+            lines += wrapped([rng.choice(words) for _ in range(rng.randrange(0, 14))]) + rng.choice([[], ["", "thanks"]])
+            own.append("\n".join(lines))
+            rows.append((conv, turn, "u", own[-1]))
+    return rows + rng.sample(rows, 8)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_a_plain_version(table, seed):
+    rows = random_conversations(seed)
+    want = plain_links(rows)
+    got = link_quotes(table(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    by_key = {(c, t): [v for (c2, t2, _), v in want.items() if (c2, t2) == (c, t)] for c, t, _, _ in rows}
+    linked_passages = 0
+    for r in got:
+        values = [[tuple(q) for q in r.quotes], (r.origin_conv, r.origin_turn), r.reply_to, r.thread, r.depth]
+        assert values in by_key[r.conv_id, r.turn], (r, by_key[r.conv_id, r.turn])
+        linked_passages += sum(q.origin_conv is not None for q in r.quotes)
+    assert linked_passages > 10
+
+
+def test_a_repeated_original_is_found_once_rewrapped(table):
+    original = (1, 0, "u", "one two three\nfour five six\nseven")
+    reply = (1, 1, "a", "> one two\n> three four five\n> six seven\nyes")
+    for rows in ([original, reply], [original, original, original, reply, reply]):
+        found = [r for r in link_quotes(table(rows, SCHEMA)).collect() if r.turn == 1]
+        assert [(r.reply_to, r.n_quotes) for r in found] == [(0, 1)] * (len(rows) - rows.count(original))
