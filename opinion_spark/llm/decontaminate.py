@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from opinion_spark.llm.tables import documents, table
 from opinion_spark.llm.words import LETTERS, texts, word_hashes
+from opinion_spark.staging import drop_staged, stage
 
 WINDOW = 13
 #: Words of items that are sent to the executors at once.
@@ -250,9 +251,16 @@ def contamination(
     n_blocks = max(1, int(-(-total // block_words)))
     block_of = F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks))
     found = docs.select(*dict.fromkeys([*keep, text]))
+    passed = None
     for i in range(n_blocks):
         block = _block(docs, text, rows.where(block_of == i).collect(), window)
         found = _pass(found, text, block, i == 0, i == n_blocks - 1, keep)
+        if i < n_blocks - 1:
+            # one block at a time in the tasks, whatever the size of the benchmark
+            found = stage(found, "passed")
+            if passed is not None:
+                drop_staged(passed)
+            passed = found
     return found.select(*keep, "_n_words", "_n_hit", "_items")
 
 
