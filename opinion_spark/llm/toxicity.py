@@ -18,23 +18,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinion_spark.llm.tables import documents, table
-from opinion_spark.llm.words import BYTE_HASH, LETTERS, lower, mix, pieces, powers_to, spans, texts
+from opinion_spark.llm.words import BYTE_HASH, LETTERS, lower, mix, powers_to, spans, texts
 
-#: Most documents of one label to learn from, and most bytes of one of them.
-TRAIN_DOCS, TRAIN_BYTES = 4_000, 50_000
+#: Most documents of one label to learn from, most bytes of one of them and of all of one label.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_TOTAL = 4_000, 50_000, 32 << 20
 #: Log-likelihood ratio from which a feature marks toxic documents.
 EVIDENCE = 25.0
 #: Hashed features.
 DIMENSIONS = 1 << 20
 PREFIXES, SUFFIX = (3, 4, 5, 6), 3
-#: Words of a chain; a longer sentence is cut.
+#: Words of a chain; a longer sentence goes on as another chain after so many.
 CHAIN = 128
 #: Bytes that are looked at together.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-6
 #: Least marginal that counts for a document.
 DOUBT = 0.2
@@ -168,13 +169,16 @@ def _evidence(values: list[bytes], toxic: np.ndarray) -> np.ndarray:
                 df[k] += np.bincount(pairs[label == k] % DIMENSIONS, minlength=DIMENSIONS)
         seen += len(part)
     share = toxic.mean()
-    total = df.sum(axis=0)
+    able = np.flatnonzero(df[1])  # the others mark nothing
+    clean, dirty = df[:, able]
+    total = clean + dirty
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * (
-            np.where(df[1] > 0, df[1] * np.log(df[1] / (total * share)), 0)
-            + np.where(df[0] > 0, df[0] * np.log(df[0] / (total * (1 - share))), 0)
+            dirty * np.log(dirty / (total * share))
+            + np.where(clean > 0, clean * np.log(clean / (total * (1 - share))), 0)
         )
-    marks = (ratio >= EVIDENCE) & (df[1] > 4 * share / (1 - share) * df[0])
+    marks = np.zeros(DIMENSIONS, bool)
+    marks[able] = (ratio >= EVIDENCE) & (dirty > 4 * share / (1 - share) * clean)
     marks[0] = False
     return marks
 
@@ -193,27 +197,38 @@ def _learn_chain(values: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model
         order = rng.permutation(len(values))
         for k in range(0, len(order), 100):
             part = order[k : k + 100]
-            words = read_words([values[i] for i in part])
-            if not len(words.starts):
-                continue
-            y = marks[words.features].any(axis=0) & (toxic[part][words.doc] == 1)
-            u = small[0] + weights[words.features].sum(axis=0)
-            transitions = small[1:].reshape(2, 2)
-            p, expected = marginals(u, words.chain_starts, words.chain_lengths, transitions)
-            error = p - y
-            n = len(y)
+            n, g = 0, np.zeros(5)
             gradient = np.zeros(DIMENSIONS)
-            for row in words.features:
-                gradient += np.bincount(row, weights=error, minlength=DIMENSIONS)
-            gradient = gradient / n * 1000 + DECAY * weights
+            seen = 0
+            for own in _batches([values[i] for i in part]):
+                words = read_words(own)
+                label = toxic[part[seen : seen + len(own)]]
+                seen += len(own)
+                if not len(words.starts):
+                    continue
+                y = marks[words.features].any(axis=0) & (label[words.doc] == 1)
+                u = small[0] + weights[words.features].sum(axis=0)
+                transitions = small[1:].reshape(2, 2)
+                p, expected = marginals(u, words.chain_starts, words.chain_lengths, transitions)
+                error = p - y
+                for row in words.features:
+                    np.add.at(gradient, row, error)
+                follows = np.ones(len(y), bool)
+                follows[words.chain_starts] = False
+                later = np.flatnonzero(follows)
+                pairs = np.bincount(2 * y[later - 1] + y[later], minlength=4)[:4]
+                g += np.append(error.sum(), expected.ravel() - pairs)
+                n += len(y)
+            if not n:
+                continue
+            gradient *= 1000 / n
+            gradient += DECAY * weights
             gradient[0] = 0
             squares += gradient**2
-            weights -= RATE * gradient / np.sqrt(squares)
-            follows = np.ones(n, bool)
-            follows[words.chain_starts] = False
-            later = np.flatnonzero(follows)
-            seen = np.bincount(2 * y[later - 1] + y[later], minlength=4)[:4]
-            g = np.append(error.sum(), expected.ravel() - seen) / n * 1000
+            gradient *= RATE
+            gradient /= np.sqrt(squares)
+            weights -= gradient
+            g *= 1000 / n
             small_squares += g**2
             small -= RATE * g / np.sqrt(small_squares)
     return Model(weights.astype(np.float32), float(small[0]), small[1:].reshape(2, 2), np.zeros(4))
@@ -262,14 +277,34 @@ def _batches(values: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
+def sentences(data: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``size`` bytes that end where a chain ends: behind a break, or after whole
+    chains of a sentence that is longer. What is read from them is what is read from all at once."""
+    size = size or BATCH_BYTES
+    start, end = 0, size
+    while start < len(data):
+        if end < len(data):
+            breaks = np.flatnonzero(_BREAK[data[start:end]])
+            if len(breaks):
+                end = start + int(breaks[-1]) + 1
+            else:
+                begins, _ = spans(data[start:end], LETTERS)
+                whole = (len(begins) - 1) // CHAIN * CHAIN
+                if whole <= 0:
+                    end += end - start
+                    continue
+                end = start + int(begins[whole])
+        yield start, min(end, len(data))
+        start, end = end, end + size
+
+
 def _judged(model: Model, values: list[bytes]) -> Iterator[tuple[Words, np.ndarray, int]]:
     """Words and marginals of a batch, piece by piece if it is one long text, with byte offsets."""
     if len(values) > 1 or len(values[0]) <= BATCH_BYTES:
         words = read_words(values)
         yield words, model.word_marginals(words), 0
         return
-    data = lower(values[0])
-    for a, b in pieces(data, LETTERS, BATCH_BYTES):
+    for a, b in sentences(lower(values[0])):
         words = read_words([values[0][a:b]])
         yield words, model.word_marginals(words), a
 
@@ -316,8 +351,9 @@ def fit(
     label: str = "toxic",
     train_docs: int = TRAIN_DOCS,
     train_bytes: int = TRAIN_BYTES,
+    train_total: int = TRAIN_TOTAL,
 ) -> Model:
-    """A model from at most ``train_docs`` labelled documents of each label.
+    """A model from at most ``train_docs`` labelled documents of each label, ``train_total`` bytes of each.
 
     Those with the smallest hash of the id are taken; held-out rows, rows without id or label and
     texts above ``train_bytes`` are left out. An id labelled twice counts with its larger label.
@@ -336,17 +372,17 @@ def fit(
     named = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(
         F.octet_length("text") <= train_bytes
     )
-    rows = (
+    found = (
         named.join(F.broadcast(sample), "id")  # 2 * train_docs rows at most
         .groupBy("id", "label")
         .agg(F.min("text").alias("text"))
-        .orderBy(key, "id")
-        .collect()
     )
+    upto = W.partitionBy("label").orderBy(key, "id").rowsBetween(W.unboundedPreceding, 0)
+    found = found.withColumn("bytes", F.sum(F.octet_length("text")).over(upto))
+    rows = found.where(F.col("bytes") <= train_total).orderBy(key, "id").select("text", "label").toArrow()
+    toxic = rows.column("label").to_numpy().astype(np.int64)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return learn(
-        [r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.int64), share
-    )
+    return learn(texts(rows.column("text").combine_chunks()), toxic, share)
 
 
 SPANS = T.ArrayType(

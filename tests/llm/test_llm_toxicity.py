@@ -79,3 +79,66 @@ def test_fit_is_repeatable_and_ignores_held_out_rows(spark, model):
     turned = labels.withColumn("toxic", F.when(held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = fit(docs.repartition(5), turned.repartition(3))
     assert np.array_equal(again.weights, model.weights) and np.array_equal(again.regression, model.regression)
+
+
+def test_long_texts_are_cut_between_chains(monkeypatch):
+    """Any size of pieces gives the words and chains of the whole text."""
+    text = (b"One two three. " * 40 + b"word " * 700 + b"! last\nline " + b"x" * 900 + b" y") * 2
+    whole = read_words([text])
+    for size in (64, 500, 4096):
+        starts, lengths, words, at = [], [], 0, 0
+        for a, b in toxicity.sentences(np.frombuffer(text, np.uint8), size):
+            part = read_words([text[a:b]])
+            assert a == at
+            starts += (part.chain_starts + words).tolist()
+            lengths += part.chain_lengths.tolist()
+            words, at = words + len(part.starts), b
+        assert at == len(text) and starts == whole.chain_starts.tolist() and lengths == whole.chain_lengths.tolist()
+
+
+def plain_scores(model, text):
+    """Document score and spans, a word at a time."""
+    words = read_words([text])
+    u = [model.bias + sum(float(model.weights[f]) for f in words.features[:, i]) for i in range(len(words.starts))]
+    a, p = model.transitions, []
+    for start, length in zip(words.chain_starts, words.chain_lengths, strict=True):
+        own = u[start : start + length]
+        forward, backward = [[0.0, own[0]]], [[0.0, 0.0]]
+        for x in own[1:]:
+            last = forward[-1]
+            forward.append([np.logaddexp(last[0] + a[0, k], last[1] + a[1, k]) + k * x for k in (0, 1)])
+        for x in reversed(own[1:]):
+            last = backward[-1]
+            backward.append([np.logaddexp(a[k, 0] + last[0], a[k, 1] + x + last[1]) for k in (0, 1)])
+        for f, b in zip(forward, reversed(backward), strict=True):
+            p.append(1 / (1 + np.exp(f[0] + b[0] - f[1] - b[1])))
+    sure = [x for x in p if x >= toxicity.DOUBT]
+    features = [1.0, max(p, default=0.0), np.log1p(sum(sure)), sum(sure) / max(1, len(p))]
+    score = 1 / (1 + np.exp(-np.dot(features, model.regression)))
+    spans = [(len(text[:s].decode()), len(text[:e].decode())) for s, e, x in zip(words.starts, words.ends, p) if x > 0.5]
+    return score, spans
+
+
+def test_scores_and_spans_against_a_plain_version(table, model, monkeypatch):
+    texts = ["You idiot, you stupid moron. É a fine day.", "É é. pathetic loser! worthless trash", "fine", "", "a. b. scum " * 60]
+    for size in (1 << 18, 32):
+        monkeypatch.setattr(toxicity, "BATCH_BYTES", size)
+        got = toxicity.scored(table(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).collect()
+        for r in got:
+            score, spans = plain_scores(model, texts[r.doc_id].encode())
+            assert r._score == pytest.approx(score, abs=1e-9)
+            assert [(s.start, s.end) for s in r._spans] == spans
+
+
+def test_training_sample_is_bounded_in_bytes(table):
+    docs = table([(i, ("idiot scum " if i % 2 else "fine day ") * 20) for i in range(400)], "doc_id long, text string")
+    labels = table([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    seen = []
+    learn, toxicity.learn = toxicity.learn, lambda values, toxic, share: seen.append((values, toxic)) or learn(values, toxic, share)
+    try:
+        fit(docs, labels, train_total=5_000)
+    finally:
+        toxicity.learn = learn
+    values, toxic = seen[0]
+    for label in (0, 1):
+        assert 4_000 < sum(len(v) for v, y in zip(values, toxic) if y == label) <= 5_000
