@@ -1,8 +1,9 @@
 """Short URLs to the pages they lead to, from a ``(src, dst)`` table of observed redirects.
 
-The table is joined with itself, which doubles the hops it spans each time; the URLs are joined once,
-with the table that spans all hops. Many URLs may lead to one page; that skew is on the left of a left
-join, where adaptive execution splits it.
+The table is joined with itself, which doubles the hops it spans each time. Only chains that go on are
+joined again; those that have ended leave, and the rounds are over when all have. The URLs are joined once, with the
+table that spans all hops. Many URLs may lead to one page; that skew is on the left of a left join, where
+adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -26,22 +27,25 @@ def redirect_table(redirects: DataFrame) -> DataFrame:
 
 
 def _then(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Where ``first`` leads if ``second`` follows; an end stays where it is."""
-    further = second.select(F.col("_src").alias("_dst"), F.col("_dst").alias("_next"))
-    joined = first.join(further, "_dst", "left")
-    return staged_lookup(joined.select("_src", F.coalesce("_next", "_dst").alias("_dst")))
+    """Where ``first`` leads if ``second`` follows. Chains that have ended take no part in the join."""
+    further = second.select(F.col("_src").alias("_at"), F.col("_dst").alias("_next"), F.col("_on").alias("_more"))
+    moved = first.where("_on").join(further, F.col("_dst") == F.col("_at"))
+    moved = moved.select("_src", F.col("_next").alias("_dst"), F.col("_more").alias("_on"))
+    return staged_lookup(first.where("NOT _on").unionByName(moved))
 
 
 def _after(table: DataFrame, hops: int) -> DataFrame:
-    """``(_src, _dst)`` after ``hops`` hops, by doubling."""
+    """``(_src, _dst, _on)`` after ``hops`` hops, by doubling, until every chain has ended."""
     if hops < 1:
-        return table.select("_src", F.col("_src").alias("_dst"))
+        return table.select("_src", F.col("_src").alias("_dst"), F.lit(True).alias("_on"))
     reached, power = None, table
     while hops:
         if hops & 1:
             reached = power if reached is None else _then(reached, power)
         hops >>= 1
         if hops:
+            if power.where("_on").isEmpty():
+                return power
             power = _then(power, power)
     return reached
 
@@ -67,13 +71,10 @@ def resolve_redirects(
         table = table.join(dead, "src", "left_anti").unionByName(
             dead.select("src", F.col("src").alias("dst"))
         )
-    table = staged_lookup(
-        table.where(~is_malformed(F.col("src"))).select(
-            F.col("src").alias("_src"), F.col("dst").alias("_dst")
-        )
-    )
-    goes_on = table.select(F.col("_src").alias("_dst"), F.lit(True).alias("_on"))
-    reached = staged_lookup(_after(table, max_hops - 2).join(goes_on, "_dst", "left"))
+    table = table.where(~is_malformed(F.col("src"))).select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+    sources = table.select(F.col("_src").alias("_dst"), F.lit(True).alias("_on"))
+    table = table.join(sources, "_dst", "left").select("_src", "_dst", F.coalesce("_on", F.lit(False)).alias("_on"))
+    reached = _after(staged_lookup(table), max_hops - 2)
     ends = urls.join(reached, F.col("url") == F.col("_src"), "left").withColumn(
         "final", F.coalesce("_dst", "url")
     )

@@ -139,3 +139,31 @@ def test_topic_url_title(table):
         "url string, html string",
     )
     assert rows(links.topic_url_title(url_counts, pages)) == [("T", 2)]
+
+
+def test_only_open_chains_are_joined_again(table, monkeypatch):
+    """Rows per round, and the same ends as walking each chain."""
+    from opinion_spark.operators import redirects as red
+
+    seen = []
+    then = red._then
+    monkeypatch.setattr(red, "_then", lambda a, b: seen.append(a.where("_on").count()) or then(a, b))
+    pairs = [(f"http://a/{i}", f"http://end/{i}") for i in range(50)]
+    pairs += [(f"http://b/{i}", f"http://b/{i + 1}") for i in range(3)] + [("http://l/0", "http://l/1"), ("http://l/1", "http://l/0")]
+    pairs += [(f"http://long/{i}", f"http://long/{i + 1}") for i in range(20)]
+    step = dict(pairs)
+    urls = sorted({u for p in pairs for u in p})
+
+    def walked(url):
+        chain = [url]
+        while chain[-1] in step and len(chain) < 10:
+            chain.append(step[chain[-1]])
+        return url if chain[-1] in step or len(chain) >= 10 else chain[-1]
+
+    got = red.resolve_redirects(table([(u,) for u in urls], "url string"), table(pairs, "src string, dst string"))
+    assert rows(got, "url", "final") == sorted((u, walked(u)) for u in urls)
+    assert seen == sorted(seen, reverse=True) and seen[0] == 2 + 2 + 19 and len(seen) == 3
+    seen.clear()
+    short = table(pairs[:53], "src string, dst string")
+    red.resolve_redirects(table([(u,) for u in urls], "url string"), short).collect()
+    assert seen == [2, 1]
