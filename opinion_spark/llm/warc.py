@@ -2,8 +2,9 @@
 
 A payload becomes rows of record id, chunk number and at most ``CHUNK`` bytes, in order, each with the
 digest of the payload so far. One row is one WARC record: the first chunk is the ``response`` record,
-the others are ``continuation`` records of the same segmented record, so neither the writer nor the
-reader ever holds more of a payload than a chunk. Rows are written by Spark's text writer, whose line
+the others are ``continuation`` records of the same segmented record. Payloads are cut by Spark, so the Python writer
+sees chunks alone, in batches that Spark bounds by rows and bytes, and the reader holds no more than a line; the input row itself is
+held whole by the scan, as any row. Rows are written by Spark's text writer, whose line
 separator is the end of a record; with gzip a file is read by one task from its start. The reader
 follows the declared lengths, so payloads may hold anything, and checks every digest.
 """
@@ -76,75 +77,96 @@ def _one_line(url: str | None) -> str | None:
     return url and "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
 
 
-def records(
-    page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, chunk: int
-) -> Iterator[tuple[int, bytes, str]]:
-    """``(chunk number, WARC record, digest so far)`` of one page."""
-    origin = record_id(page, digest)
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    fields = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", origin),
-        ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", _one_line(url)),
-        ("WARC-Payload-Digest", f"sha256:{digest}"),
-        ("Content-Type", "application/http; msgtype=response"),
-        ("Page-ID", page),
-    ]
-    if refers_to is not None:
-        fields += [
-            ("WARC-Profile", PROFILE),
-            ("WARC-Refers-To", record_id(refers_to, digest)),
-            ("Refers-To-Page-ID", refers_to),
-        ]
-        yield 0, _head(fields, len(http)) + http, digest
-        return
-    so_far, view = hashlib.sha256(), memoryview(payload)
-    n_chunks = max(1, -(-len(payload) // chunk))
-    for number in range(n_chunks):
-        part = view[number * chunk : (number + 1) * chunk]
-        so_far.update(part)
-        block = http + part if number == 0 else bytes(part)
+class Writer:
+    """Makes the WARC record of each chunk; the chunks of a payload come in order, one after the other."""
+
+    def __init__(self) -> None:
+        self.so_far, self.http_bytes = hashlib.sha256(), 0
+
+    def record(
+        self,
+        page: int | None,
+        url: str | None,
+        digest: str,
+        refers_to: int | None,
+        size: int,
+        number: int,
+        n_chunks: int,
+        part: bytes,
+    ) -> tuple[bytes, str]:
+        """The record and the digest so far; ``size`` is that of the whole payload."""
+        http = b""
+        fields: list[tuple[str, object]] = []
+        if number == 0:
+            self.so_far = hashlib.sha256()
+            http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+            fields = [
+                ("WARC-Type", "response" if refers_to is None else "revisit"),
+                ("WARC-Record-ID", record_id(page, digest)),
+                ("WARC-Date", "1970-01-01T00:00:00Z"),
+                ("WARC-Target-URI", _one_line(url)),
+                ("WARC-Payload-Digest", f"sha256:{digest}"),
+                ("Content-Type", "application/http; msgtype=response"),
+                ("Page-ID", page),
+            ]
+            self.http_bytes = len(http)
+        if refers_to is not None:
+            fields += [
+                ("WARC-Profile", PROFILE),
+                ("WARC-Refers-To", record_id(refers_to, digest)),
+                ("Refers-To-Page-ID", refers_to),
+            ]
+            return _head(fields, len(http)) + http, digest
+        self.so_far.update(part)
         if n_chunks > 1:
-            segment: list[tuple[str, object]] = [("WARC-Segment-Number", number + 1)]
+            fields += [("WARC-Segment-Number", number + 1)]
             if number:
-                segment += [
+                fields += [
                     ("WARC-Type", "continuation"),
                     ("WARC-Record-ID", record_id(page, f"{digest}:{number}")),
                     ("WARC-Date", "1970-01-01T00:00:00Z"),
-                    ("WARC-Segment-Origin-ID", origin),
+                    ("WARC-Segment-Origin-ID", record_id(page, digest)),
                 ]
             if number == n_chunks - 1:
-                segment += [("WARC-Segment-Total-Length", len(http) + len(payload))]
-            segment += [("Digest-So-Far", f"sha256:{so_far.hexdigest()}")]
-            head = _head((fields if number == 0 else []) + segment, len(block))
-        else:
-            head = _head(fields, len(block))
-        yield number, head + block, so_far.hexdigest()
+                fields += [("WARC-Segment-Total-Length", self.http_bytes + size)]
+            fields += [("Digest-So-Far", f"sha256:{self.so_far.hexdigest()}")]
+        return _head(fields, len(http) + len(part)) + http + part, self.so_far.hexdigest()
 
 
 CHUNKS = "page_id bigint, chunk int, record binary, digest_so_far string"
 
 
+def chunk_rows(plan: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(page_id, url, digest, refers_to, size, chunk, n_chunks, part)``: the payloads of ``planned`` pages
+    in rows of at most ``chunk`` bytes, in order; a revisit has one row without payload."""
+    size = F.octet_length("payload")
+    n_chunks = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(size / chunk), F.lit(1))).otherwise(F.lit(1))
+    known = plan.select("*", size.alias("size"), n_chunks.cast("int").alias("n_chunks"))
+    rows = known.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    part = F.when(F.col("refers_to").isNull(), F.substring("payload", F.col("chunk") * chunk + 1, F.lit(chunk)))
+    return rows.select("page_id", "url", "digest", "refers_to", "size", "chunk", "n_chunks", part.alias("part"))
+
+
 def chunk_table(plan: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``(page_id, chunk, record, digest_so_far)`` of ``planned`` pages, chunks of a page in order."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = Writer()
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             for i in range(batch.num_rows):
-                page, url, payload, digest, refers = (c[i].as_py() for c in batch.columns)
-                for number, record, so_far in records(page, url, payload, digest, refers, chunk):
-                    rows.append((page, number, record, so_far))
-                    size += len(record)
-                    if size >= BATCH_BYTES:
-                        yield _batch(rows, CHUNKS)
-                        rows, size = [], 0
+                page, url, digest, refers, total, number, n_chunks, part = (c[i].as_py() for c in batch.columns)
+                record, so_far = writer.record(page, url, digest, refers, total, number, n_chunks, part or b"")
+                rows.append((page, number, record, so_far))
+                size += len(record)
+                if size >= BATCH_BYTES:
+                    yield _batch(rows, CHUNKS)
+                    rows, size = [], 0
             if rows:
                 yield _batch(rows, CHUNKS)
 
-    return plan.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(cut, CHUNKS)
+    return chunk_rows(plan, chunk).mapInArrow(write, CHUNKS)
 
 
 _KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}

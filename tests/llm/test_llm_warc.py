@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from opinion_spark.llm.warc import Reader, chunk_table, planned, read_warc, records, write_warc
+from opinion_spark.llm.warc import Reader, Writer, chunk_rows, chunk_table, planned, read_warc, write_warc
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -49,6 +49,17 @@ def test_chunk_rows_carry_the_digest_so_far(table):
     assert rows[1].digest_so_far == hashlib.sha256(payload.encode()[:256]).hexdigest()
 
 
+def test_python_sees_chunks_only(table):
+    """Spark cuts the payloads; a revisit brings none of its own."""
+    long = "x" * 1000 + "y" * 555
+    rows = chunk_rows(planned(table([(1, "u", long), (2, "u", long), (3, "u", None)], SCHEMA)), 100).collect()
+    assert max(len(r.part or b"") for r in rows) == 100
+    by = {p: [r for r in rows if r.page_id == p] for p in (1, 2, 3)}
+    assert b"".join(bytes(r.part) for r in by[1]) == long.encode() and [r.chunk for r in by[1]] == list(range(16))
+    assert len(by[2]) == 1 and by[2][0].part is None and by[2][0].refers_to == 1
+    assert len(by[3]) == 1 and bytes(by[3][0].part) == b""
+
+
 def test_no_pages(spark, table, tmp_path):
     write_warc(chunk_table(planned(table([], SCHEMA))), str(tmp_path / "w"))
     assert read_warc(spark, str(tmp_path / "w")).count() == 0
@@ -57,7 +68,12 @@ def test_no_pages(spark, table, tmp_path):
 def lines(chunk=100):
     payload = b"line\nother\r\n" * 40
     digest = hashlib.sha256(payload).hexdigest()
-    whole = b"".join(r + b"\r\n\r\n" for _, r, _ in records(1, "u", payload, digest, None, chunk))
+    parts = [payload[i : i + chunk] for i in range(0, len(payload), chunk)]
+    writer = Writer()
+    records = [
+        writer.record(1, "u", digest, None, len(payload), i, len(parts), p)[0] for i, p in enumerate(parts)
+    ]
+    whole = b"".join(r + b"\r\n\r\n" for r in records)
     return whole.split(b"\n")[:-1]
 
 
