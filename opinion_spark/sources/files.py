@@ -111,6 +111,46 @@ def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None) -> No
     ordered.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
 
 
+#: Names the parts of a sorted output in order, ``name <tab> first byte <tab> bytes`` each; readers skip it.
+ORDER = "_order"
+
+
+def write_sorted(df: DataFrame, path: str, order_by: list[str]) -> None:
+    """``write_tsv`` in key order, with a list of the parts: joined as listed they are the one sorted file.
+
+    Rows are dealt by range, so no task sorts or writes everything. The list is written last and
+    renamed into place. A run that finds it does nothing, one that finds parts without it begins anew.
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    order = spark._jvm.org.apache.hadoop.fs.Path(folder, ORDER)
+    if files.exists(order):
+        return
+    files.delete(folder, True)
+    write_tsv(df, path, order_by)
+    found = sorted((s.getPath().getName(), s.getLen()) for s in files.listStatus(folder))
+    lines, at = [], 0
+    for name, size in found:
+        if name.startswith("part-") and size:
+            lines.append(f"{name}\t{at}\t{size}\n")
+            at += size
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(folder, ORDER + ".new")
+    out = files.create(fresh, True)
+    out.write(bytearray("".join(lines).encode()))
+    out.close()
+    files.rename(fresh, order)
+
+
+def sorted_parts(spark: SparkSession, path: str) -> list[str]:
+    """The parts of a sorted output in order; an unfinished one fails."""
+    order = spark._jvm.org.apache.hadoop.fs.Path(path, ORDER)
+    stream = order.getFileSystem(spark._jsc.hadoopConfiguration()).open(order)
+    lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()  # one a part
+    stream.close()
+    return [f"{path.rstrip('/')}/{line.split('\t')[0]}" for line in lines]
+
+
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """``(term)``: keyword file, one term per line."""
     return spark.read.text(path).select(F.col("value").alias("term"))

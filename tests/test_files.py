@@ -98,6 +98,32 @@ def test_tsv(spark, table, tmp_path):
     ]
 
 
+def test_sorted_parts_are_the_single_sorted_file(spark, table, tmp_path, conf):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("key"), F.concat(F.lit("é"), "id").alias("name"))
+    many, one = tmp_path / "many", tmp_path / "one"
+    conf("spark.sql.adaptive.enabled", "false")
+    files.write_sorted(df, str(many), ["key"])
+    files.write_tsv(df.coalesce(1).sortWithinPartitions("key"), str(one))
+    parts = files.sorted_parts(spark, str(many))
+    assert len(parts) > 1
+    joined = b"".join(open(p, "rb").read() for p in parts)
+    assert joined == next(one.glob("part-*")).read_bytes()
+    assert spark.read.text(str(many)).count() == 5000  # the list of parts is no part
+
+
+def test_a_sorted_output_begins_anew_only_if_it_was_not_finished(spark, table, tmp_path):
+    path = tmp_path / "out"
+    df = table([(2, "b"), (1, "a")], "key bigint, name string")
+    path.mkdir()
+    (path / "part-00000-left-over.txt").write_text("9\tz\n")
+    files.write_sorted(df, str(path), ["key"])
+    assert "".join(open(p).read() for p in files.sorted_parts(spark, str(path))) == "1\ta\n2\tb\n"
+    files.write_sorted(df.where("key = 1"), str(path), ["key"])
+    assert spark.read.text(str(path)).count() == 2
+    files.write_sorted(df.where("false"), str(tmp_path / "none"), ["key"])
+    assert files.sorted_parts(spark, str(tmp_path / "none")) == []
+
+
 def test_seq_to_text_chain(spark, table, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     files.write_sequence(table([("a", 1), ("b", 2), ("a", 3)], schemas.COUNTED_KEY), source)
