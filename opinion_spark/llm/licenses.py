@@ -4,8 +4,8 @@ A block is a stretch of consecutive words a little longer than the template. It
 enough of the template's distinct words (containment). Words are ordered by how often the corpus has
 them: a block that matches must have one of the template's rarest words, as many as may be missing
 and one more (prefix filter). Only places of such words are looked at; too few of the template's words
-around the place rule it out (length filter), and only stretches over the place are compared
-(positional filter). Base templates are phrases: their rarest word fixes where the phrase would start.
+around the place rule it out (length filter), and only stretches over the place are compared, those with an
+earlier such word at that word's place (positional filter). Every block that matches is returned once. Base templates are phrases: their rarest word fixes where the phrase would start.
 
 Texts stay where they are read; only counts of template words are gathered. DataFrame functions only.
 """
@@ -74,6 +74,23 @@ TEMPLATES = (
 )
 
 
+#: Templates that may travel with a plan.
+MOST_TEMPLATES = 200
+
+
+def templates_of(table: DataFrame, most: int = MOST_TEMPLATES) -> tuple[Template, ...]:
+    """Templates from a table ``(label, text)``, as many as a plan can hold; more are refused.
+
+    Texts are split like documents; rows with a null or without words are left out, equal rows are one.
+    """
+    split = F.array_join(words(F.col("text")), " ").alias("text")
+    rows = table.where("label IS NOT NULL").select("label", split).where("text <> ''").distinct()
+    listed = rows.orderBy("label", "text").limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} templates")
+    return tuple(Template(r["label"], r["text"]) for r in listed)
+
+
 def words(text: Column) -> Column:
     """Words with letters lower-cased.
 
@@ -100,16 +117,10 @@ HIT = "array<struct<label:string,base:boolean,start:int,containment:double>>"
 
 
 def _phrase_hits(ws: Column, at: Column, word: str, t: Template) -> Column:
-    """Hits of a phrase with ``word`` at place ``at``."""
-    starts = [at - i for i, w in enumerate(t.words) if w == word]
-    hits = [
-        F.when(
-            (s >= 0) & (F.slice(ws, F.greatest(s, F.lit(0)) + 1, len(t.words)) == _texts(t.words)),
-            F.array(_hit(t, s, F.lit(1.0))),
-        )
-        for s in starts
-    ]
-    return F.flatten(F.array(*[F.coalesce(h, F.array().cast(HIT)) for h in hits]))
+    """The hit of a phrase whose first ``word`` is at place ``at``."""
+    start = at - t.words.index(word)
+    same = F.slice(ws, F.greatest(start, F.lit(0)) + 1, len(t.words)) == _texts(t.words)
+    return F.when((start >= 0) & same, F.array(_hit(t, start, F.lit(1.0)))).otherwise(F.array().cast(HIT))
 
 
 def _hit(t: Template, start: Column, containment: Column) -> Column:
@@ -121,35 +132,41 @@ def _hit(t: Template, start: Column, containment: Column) -> Column:
     )
 
 
-def _block_hits(ws: Column, at: Column, t: Template) -> Column:
-    """The best block over place ``at``, if it is good enough."""
+def _block_hits(ws: Column, at: Column, t: Template, prefix: list[str]) -> Column:
+    """Every block that is good enough and has its first word of the prefix at place ``at``."""
     low = F.greatest(at - t.span + 1, F.lit(0))
     around = F.slice(ws, low + 1, at - low + t.span)
     enough = F.size(F.array_intersect(around, _texts(t.distinct))) >= t.need
     blocks = F.transform(
         F.sequence(low, at),
         lambda s: F.struct(
-            F.size(F.array_intersect(F.slice(ws, s + 1, t.span), _texts(t.distinct))).alias("n"),
-            (-s).alias("back"),
+            s.alias("start"), F.size(F.array_intersect(F.slice(ws, s + 1, t.span), _texts(t.distinct))).alias("n")
         ),
     )
-    best = F.array_max(blocks)
-    hit = _hit(t, -best["back"], best["n"] / F.lit(float(len(t.distinct))))
-    return F.when(enough & (best["n"] >= t.need), F.array(hit)).otherwise(F.array().cast(HIT))
+    # a block is found at one place, however many of its words are in the prefix
+    good = F.filter(
+        blocks,
+        lambda x: (x["n"] >= t.need)
+        & (F.size(F.array_intersect(F.slice(ws, x["start"] + 1, at - x["start"]), _texts(prefix))) == 0),
+    )
+    hits = F.transform(good, lambda x: _hit(t, x["start"], x["n"] / F.lit(float(len(t.distinct)))))
+    return F.when(enough, hits).otherwise(F.array().cast(HIT))
 
 
 def with_hits(
     docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES
 ) -> DataFrame:
-    """``docs`` with ``_words`` and ``_hits`` ``(label, base, start, containment)``.
+    """``docs`` with ``_words`` and ``_hits`` ``(label, base, start, containment)``: every place of a phrase
+    and every block of a template, each once.
 
     Null and empty texts have no words and no hits; rows are judged one by one. The templates are a
     list of bounded size that travels with the plan.
     """
     counts = word_counts(docs, text, templates)
     by_word: dict[str, list[Template]] = {}
+    prefixes = {t: t.prefix(counts) for t in templates}
     for t in templates:
-        for w in t.prefix(counts):
+        for w in prefixes[t]:
             by_word.setdefault(w, []).append(t)
     listed = sorted(by_word)
     read = docs.withColumn("_words", words(F.col(text)))
@@ -167,7 +184,7 @@ def with_hits(
         hits = F.array().cast(HIT)
         for w in listed:
             here = [
-                _phrase_hits(ws, p["at"], w, t) if t.base else _block_hits(ws, p["at"], t)
+                _phrase_hits(ws, p["at"], w, t) if t.base else _block_hits(ws, p["at"], t, prefixes[t])
                 for t in by_word[w]
             ]
             hits = F.when(p["word"] == w, F.flatten(F.array(*here))).otherwise(hits)
@@ -175,7 +192,7 @@ def with_hits(
 
     found = F.flatten(F.transform(F.col("_places"), at_place))
     return read.withColumn(
-        "_hits", F.when(F.size("_places") > 0, F.array_distinct(found)).otherwise(F.array().cast(HIT))
+        "_hits", F.when(F.size("_places") > 0, found).otherwise(F.array().cast(HIT))
     )
 
 

@@ -14,9 +14,9 @@ def words(text):
 
 
 def brute(text, templates):
-    """``(base places, labels, best containment)``."""
+    """``(base places, labels, best containment, blocks)``."""
     w = words(text)
-    base, labels, best = [], set(), 0.0
+    base, labels, best, blocks = [], set(), 0.0, []
     for t in templates:
         if t.base:
             here = [(i, t.label) for i in range(len(w)) if w[i : i + len(t.words)] == t.words]
@@ -24,11 +24,12 @@ def brute(text, templates):
             counts = [len(t.distinct)] * len(here)
         else:
             counts = [len(set(w[i : i + t.span]) & set(t.distinct)) for i in range(len(w))]
+            blocks += [(i, t.label, n / len(t.distinct)) for i, n in enumerate(counts) if n >= t.need]
         enough = [n for n in counts if n >= t.need]
         if enough:
             labels.add(t.label)
             best = max(best, max(enough) / len(t.distinct))
-    return sorted(base), labels, best
+    return sorted(base), labels, best, sorted(blocks)
 
 
 TEXTS = [
@@ -54,7 +55,8 @@ def test_hits_match_brute_force(table, templates):
     rows = [(i, t) for i, t in enumerate([*TEXTS, "a b a b a c", "b a b a", "c b x a"])]
     found = with_hits(table([(*r, 3) for r in rows], "doc_id long, text string, _hits int"), templates=templates)
     for r in found.select("doc_id", "_words", "_hits").collect():
-        base, labels, best = brute(rows[r.doc_id][1], templates)
+        base, labels, best, blocks = brute(rows[r.doc_id][1], templates)
+        assert sorted((h.start, h.label, h.containment) for h in r._hits if not h.base) == blocks, r.doc_id
         assert sorted((h.start, h.label) for h in r._hits if h.base) == base, r.doc_id
         assert {h.label for h in r._hits} == labels, r.doc_id
         assert max([h.containment for h in r._hits], default=0.0) == pytest.approx(best), r.doc_id
@@ -68,3 +70,13 @@ def test_prefix_holds_a_word_of_every_match():
 def test_empty_table(table):
     assert with_hits(table([], "doc_id long, text string")).count() == 0
     assert licenses.word_counts(table([], "doc_id long, text string"), "text", TEMPLATES) == {}
+
+
+def test_templates_from_a_table(table):
+    rows = [("own", "This Text may be copied, by anyone!"), ("own", "this text may be copied by anyone"), (None, "x"), ("e", "..."), ("n", None)]
+    found = licenses.templates_of(table(rows, "label string, text string"))
+    assert found == (Template("own", "this text may be copied by anyone"),)
+    docs = table([(1, "note: this text may be copied by anyone who")], "doc_id long, text string")
+    assert {h.label for h in with_hits(docs, templates=found).head()._hits} == {"own"}
+    with pytest.raises(ValueError):
+        licenses.templates_of(table([(f"l{i}", f"w{i}") for i in range(5)], "label string, text string"), most=4)
