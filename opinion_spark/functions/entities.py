@@ -22,7 +22,9 @@ LAST, REPLACEMENT = 0x10FFFF, "�"
 
 
 def _map(values: dict) -> Column:
-    return F.map_from_arrays(F.lit(list(values)), F.lit(list(values.values())))
+    """A literal map of strings, written as one string so that the plan stays short."""
+    pairs = "\x02".join(f"{key}\x01{value}" for key, value in values.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
 
 
 def _behind(text: Column, start: Column) -> Column:
@@ -40,7 +42,7 @@ def _number(reference: Column) -> Column:
     character = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
     return (
         F.when(outside, F.lit(REPLACEMENT))
-        .when(value < 0xA0, F.coalesce(_map(SMALL)[value.cast("int")], character))
+        .when(value < 0xA0, F.coalesce(_map(SMALL)[value.cast("string")], character))
         .when(nothing, F.lit(""))
         .otherwise(character)
     )
