@@ -17,10 +17,11 @@ from opinion_spark.functions.urls import trim_url  # noqa: E402
 from opinion_spark.operators import audiences, counts, item_sets, keywords, links  # noqa: E402
 from opinion_spark.operators import hubs, network, opinion, reshares, similarity, top_links  # noqa: E402
 from opinion_spark.operators.redirects import resolve_redirects  # noqa: E402
-from opinion_spark.plans import chains  # noqa: E402
+from opinion_spark.plans import chains, handover  # noqa: E402
 from opinion_spark.sources.files import side_list  # noqa: E402
 from opinion_spark.sources.network import parse_network  # noqa: E402
 from opinion_spark.sources.posts import linked_urls, parse_posts  # noqa: E402
+from opinion_spark.staging import fresh_path  # noqa: E402
 
 try:
     import opinion_spark.llm.registry as llm  # noqa: E402
@@ -208,6 +209,10 @@ def _exposure(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _count_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _url_counts(spark, d).select(F.col("url").alias("key"), F.col("n").alias("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per job; each takes ``(spark, sf_dir)``."""
     return _jobs() | (llm.QUERIES if llm else {})
@@ -353,6 +358,27 @@ def _jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "degree_hist": lambda s, d: network.degree_hist(
             network.follower_counts(network.simplify_network(_net(s, d), None))
         ),
+        # chains through files
+        "sequence_posts": lambda s, d: handover.posts_per_user(
+            fx.raw_posts(s, d), fresh_path(s, "posts")
+        ),
+        "sequence_counts": lambda s, d: handover.counts_as_text(
+            _count_pairs(s, d), fresh_path(s, "counts")
+        ),
+        "sequence_network": lambda s, d: handover.listed_network(
+            fx.raw_network(s, d), fx.uf_list(s, d), fresh_path(s, "network"), P.FOLLOW_LIMIT
+        ),
+        "sequence_user_items": lambda s, d: handover.user_items(
+            reshares.user_rt_list(_rt_texts(s, d)), fresh_path(s, "items")
+        ),
+        "text_item_sets": lambda s, d: handover.item_users(_url_sets(s, d), fresh_path(s, "sets")),
+        "text_terms": lambda s, d: handover.keyword_buzz(
+            _text_posts(s, d), fx.term_table(s, d), fresh_path(s, "terms")
+        ),
+        "text_opinions": lambda s, d: handover.opinion_by_file(
+            _rt_texts(s, d), fx.rt_opinions(s, d, encoded=True), fresh_path(s, "opinions")
+        ),
+        "sorted_lines": lambda s, d: handover.ranked_lines(_count_pairs(s, d), fresh_path(s, "sorted")),
     }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,6 +152,31 @@ def sorted_parts(spark: SparkSession, path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{line.split('\t')[0]}" for line in lines]
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line, value)`` of a sorted output, numbered from 1 as in the one sorted file.
+
+    Lines are numbered within their part, which one task wrote; only the number of lines of each part
+    is summed over parts.
+    """
+    parts = sorted_parts(spark, path)
+    if not parts:
+        return spark.createDataFrame([], "line bigint, value string")
+    places = [(part.rsplit("/", 1)[1], i) for i, part in enumerate(parts)]
+    order = spark.createDataFrame(places, "name string, part int")
+    lines = spark.read.text(parts).select(
+        F.col("_metadata.file_name").alias("name"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),  # rises within a block
+        "value",
+    )
+    sizes = lines.groupBy("name").agg(F.count("*").alias("lines")).join(order, "name")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a part
+    starts = sizes.select("name", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(W.partitionBy("name").orderBy("block", "at"))
+    numbered = lines.withColumn("within", within).join(starts, "name")
+    return numbered.select((F.col("start") + F.col("within")).alias("line"), "value")
+
+
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """``(term)``: keyword file, one term per line."""
     return spark.read.text(path).select(F.col("value").alias("term"))

@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged_lookup(df: DataFrame) -> DataFrame:
     """A table with unique keys, written once before many rows look their key up in it.
 
@@ -43,7 +48,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, survives lost executors, and gives the planner the true size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_path = path

@@ -278,7 +278,7 @@ def sql(params) -> dict[str, str]:
 topic_rows AS (
   SELECT u.url, u.key FROM urls u JOIN texts t USING (event_id)
   WHERE t.tweet_id IS NOT NULL AND {_any('t.text', fx.TOPICS)})"""
-    return {
+    queries = {
         "tweet_count": f"""WITH {POSTS}
 SELECT 'tweetNum' AS metric, count(*) AS n FROM posts WHERE key <> 0
 UNION ALL SELECT 'errorNum', count(*) FROM posts WHERE key = 0""",
@@ -466,3 +466,20 @@ FROM accounts LEFT JOIN uo ON user_id = id WHERE n_followers >= 0 GROUP BY 1, 2"
 SELECT CAST(1 AS INTEGER) AS key, CAST(n_followers AS INTEGER) AS degree, count(*) AS freq
 FROM accounts WHERE n_followers >= 0 GROUP BY 2""",
     }
+    # what comes back from files is what went into them
+    return queries | {
+        "sequence_posts": queries["user_tweet_count"],
+        "sequence_counts": f"WITH {URL_COUNT} SELECT url AS key, n AS value FROM url_count",
+        "sequence_network": queries["filter_network_by_list"],
+        "sequence_user_items": f"WITH {_retweets(p.RT_USERS)} SELECT user_id, item FROM encoded",
+        "text_item_sets": f"WITH RECURSIVE {_url_refer(p.URL_USERS)} SELECT url AS item, user_id FROM url_refer",
+        # a term with a line break is several lines of a keyword file
+        "text_terms": queries["term_buzz_by_table"].replace(
+            "counted AS", r"""lines AS (
+  SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(term, '[\r\n]+')) AS term FROM terms) WHERE term <> ''),
+counted AS"""
+        ).replace("JOIN terms ON", "JOIN lines ON"),
+        "text_opinions": queries["user_opinion_base64"],
+        "sorted_lines": f"""WITH {URL_COUNT}
+SELECT row_number() OVER (ORDER BY encode(url)) AS line, url || chr(9) || n AS value FROM url_count""",
+    }

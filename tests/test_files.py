@@ -168,3 +168,16 @@ def test_stage_writes_to_the_shared_folder(spark):
     staged = stage(spark.range(5).withColumn("x", F.lit("a")), "t")
     assert staged.count() == 5
     assert staged.inputFiles()[0].startswith("file://" + shared_dir(spark))
+
+
+def test_lines_of_a_sorted_output_are_numbered_through_its_parts(spark, tmp_path, conf):
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.files.maxPartitionBytes", "4096")  # parts are read in several splits
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("key"), F.lit("é").alias("name"))
+    files.write_sorted(df, str(tmp_path / "out"), ["key"])
+    assert len(files.sorted_parts(spark, str(tmp_path / "out"))) > 1
+    got = [tuple(r) for r in files.numbered_lines(spark, str(tmp_path / "out")).orderBy("line").collect()]
+    keys = sorted(i * 7919 % 20_011 for i in range(20_000))
+    assert got == [(i, f"{key}\té") for i, key in enumerate(keys, 1)]
+    files.write_sorted(df.where("false"), str(tmp_path / "none"), ["key"])
+    assert files.numbered_lines(spark, str(tmp_path / "none")).count() == 0
