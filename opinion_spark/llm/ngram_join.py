@@ -133,7 +133,7 @@ def _common(docs: DataFrame, id_col: str, text: str, size: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
-    """``(id, n, dig, sigs)`` per row; rows without id or words have no digest."""
+    """``(id, h, n, dig, sigs)`` per row, ``h`` a hash of the text; rows without id or words have no digest."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text, size))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def _signed(docs: DataFrame, id_col: str, text: str, size: int, percent: int) ->
                 part = batch.slice(start, 250)
                 sizes, digests, signatures = [], [], []
                 for has_id, value in zip(
-                    part.column(0).is_valid().to_pylist(), texts(part.column(1)), strict=True
+                    part.column(0).is_valid().to_pylist(), texts(part.column(2)), strict=True
                 ):
                     s = shingles(value, size)
                     sizes.append(len(s))
@@ -155,22 +155,29 @@ def _signed(docs: DataFrame, id_col: str, text: str, size: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array(sizes, pa.int64()),
                         pa.array(digests, pa.int64()),
                         pa.array(signatures, pa.list_(pa.int64())),
                     ],
-                    ["id", "n", "dig", "sigs"],
+                    ["id", "h", "n", "dig", "sigs"],
                 )
 
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
+            T.StructField("h", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("dig", T.LongType()),
             T.StructField("sigs", T.ArrayType(T.LongType())),
         ]
     )
-    return docs.select(F.col(id_col).alias("id"), text).mapInArrow(sign, schema)
+    return _rows(docs, id_col, text).mapInArrow(sign, schema)
+
+
+def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(id, h, text)``: a row is known by its id and the hash of its text."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
 
 
 def _digest(s: np.ndarray) -> int:
@@ -226,13 +233,15 @@ MEETING = ", ".join(f"{name} bigint" for name in MEETING_NAMES)
 
 
 def _sets(linkable: DataFrame) -> DataFrame:
-    """``(dig, n, id, copies)``: the distinct sets, their smallest id and how many ids have them."""
+    """``(dig, n, id, h, copies)``: the distinct sets, the first row by id and text that has each, and how
+    many ids have it."""
     grouped = linkable.groupBy("dig", "n")
-    return stage(grouped.agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies")), "sets")
+    found = grouped.agg(F.min(F.struct("id", "h")).alias("row"), F.count_distinct("id").alias("copies"))
+    return stage(found.select("dig", "n", "row.id", "row.h", "copies"), "sets")
 
 
 def _placed(sets: DataFrame, families: DataFrame, unit_weight: int) -> DataFrame:
-    """``(unit, family, whole, dig, n, id, copies)``: one row per distinct set of a family.
+    """``(unit, family, whole, dig, n, id, h, copies)``: one row per distinct set of a family.
 
     Sets are ordered by family and size and cut into units of equal weight; ``whole`` says that the
     family lies in one unit.
@@ -242,7 +251,7 @@ def _placed(sets: DataFrame, families: DataFrame, unit_weight: int) -> DataFrame
     summed = prefix_sums(weighed, "all", ["family", "n", "dig"], "weight")
     units = stage(
         summed.select(
-            F.floor(F.col("before") / unit_weight).alias("unit"), "family", "dig", "n", "id", "copies"
+            F.floor(F.col("before") / unit_weight).alias("unit"), "family", "dig", "n", "id", "h", "copies"
         ),
         "units",
     )
@@ -275,6 +284,15 @@ def _every_link(
     return ties + [(dig[x], None, int(count[x])) for x in np.flatnonzero(count)]
 
 
+def _placed_texts(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed`` with the text of each set, one row per set however often its row is repeated.
+
+    Sorted on both sides at every size: what is looked up grows with the texts. Repeats of a row then
+    stand side by side.
+    """
+    return rows.join(placed.hint("merge"), ["id", "h"]).dropDuplicates(["id", "h"])
+
+
 def _unit_links(
     docs: DataFrame, placed: DataFrame, id_col: str, text: str, size: int, percent: int, give: str
 ) -> DataFrame:
@@ -283,8 +301,6 @@ def _unit_links(
     ``(a, b, links, unit, family, n, copies, members)``: rows with ``unit`` are sets. Of the others, rows
     with ``b`` tie a set to the first one of its group or are a link, rows with ``links`` count.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-
     def join_unit(batch: pa.Table) -> pa.Table:
         rows = batch.combine_chunks()
         values = rows.column("text").combine_chunks()
@@ -294,10 +310,7 @@ def _unit_links(
         copies = rows.column("copies").to_numpy()
         unit = int(rows.column("unit")[0].as_py())
         sets = [shingles(value, size) for value in texts(values)]
-        # another text under the same id is not the one that was placed
-        own = [k for k, s in enumerate(sets) if len(s) and _digest(s) == dig[k]]
-        own = sorted(own, key=lambda k: (family[k], len(sets[k]), dig[k]))
-        own = [k for i, k in enumerate(own) if not i or dig[k] != dig[own[i - 1]]]
+        own = sorted(range(len(sets)), key=lambda k: (family[k], len(sets[k]), dig[k]))
         out = []
         for group in _runs(own, family):
             members = [sets[k] for k in group]
@@ -316,12 +329,8 @@ def _unit_links(
                 ]
         return _table(out, UNIT)
 
-    # sorted on both sides at every size: what is looked up grows with the texts
-    return (
-        named.join(placed.hint("merge"), "id")
-        .groupBy("unit")
-        .applyInArrow(join_unit, UNIT)
-    )
+    found = _placed_texts(_rows(docs, id_col, text), placed)
+    return found.groupBy("unit").applyInArrow(join_unit, UNIT)
 
 
 LINK = "a bigint, b bigint, links bigint"
@@ -522,9 +531,9 @@ def ngram_links(
 def _joined(
     docs: DataFrame, id_col: str, text: str, size: int, percent: int, unit_weight: int, give: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(id, n, dig)`` per row, the distinct sets, and what ``_unit_links`` gives."""
+    """``(id, h, n, dig)`` per row, the distinct sets, and what ``_unit_links`` gives."""
     signed = stage(_signed(docs, id_col, text, size, percent), "signed")
-    base = stage(signed.select("id", "n", "dig"), "base")
+    base = stage(signed.select("id", "h", "n", "dig"), "base")
     families = stage(components(_meetings(signed)), "families")
     drop_staged(signed)
     sets = _sets(base.where("dig IS NOT NULL"))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from opinion_spark.llm import ngram_join, signature_tree
 from opinion_spark.llm.ngram_join import class_bounds, ngram_components, part_signatures
@@ -182,3 +183,15 @@ def test_op1_has_the_number_of_links(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = ngram_join.op1_ngram_jaccard_join(spark, str(tmp_path)).collect()
     assert {(r.component_id, r.n_links) for r in got} == {(0, 4)}
+
+
+def test_texts_under_one_id_meet_their_own_set_alone(table):
+    rows = [(7, " ".join(f"t{i}w{k}" for k in range(9))) for i in range(60)]
+    rows += [(7, rows[0][1])] * 50 + [(3, "a b c d")] * 40 + [(9, None), (None, "a b c d")]
+    docs = table(rows, "doc_id long, text string")
+    keyed = ngram_join._rows(docs, "doc_id", "text")
+    sets = keyed.where("id IS NOT NULL AND text IS NOT NULL").distinct()
+    found = ngram_join._placed_texts(keyed, sets.select("id", "h", F.xxhash64("text").alias("dig")))
+    assert sorted((r["id"], r["text"]) for r in found.collect()) == sorted({r for r in rows if r[0] and r[1]})
+    got = ngram_join.linked_documents(docs)
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == brute(rows, 3, 90)
