@@ -78,6 +78,10 @@ ALLOWED_STRETCH = rf"[^/=_-]*(?:{'|'.join(ALLOWED)})[^/=_-]*"
 BARE_NUMBER = r"^[0-9]+$"
 
 
+#: Starts are gathered in blocks of so many, so that a step copies a block and not all starts so far.
+BLOCK = 256
+
+
 def _starts(text: Column, pattern: str) -> tuple[Column, Column]:
     """All matches of ``pattern`` and the code point at which each starts.
 
@@ -85,15 +89,27 @@ def _starts(text: Column, pattern: str) -> tuple[Column, Column]:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    zero = F.struct(
+        F.lit(0).alias("at"),
+        F.array().cast("array<int>").alias("block"),
+        F.array().cast("array<array<int>>").alias("done"),
+    )
+
+    def walk(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["piece"])
+        block, done = state["block"], state["done"]
+        full = F.size(block) >= BLOCK
+        return F.struct(
+            (start + F.length(x["match"])).alias("at"),
+            F.when(full, F.array(start)).otherwise(F.array_append(block, start)).alias("block"),
+            F.when(full, F.array_append(done, block)).otherwise(done).alias("done"),
+        )
+
     walked = F.aggregate(
         F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match")),
         zero,
-        lambda state, x: F.struct(
-            (state["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("at"),
-            F.array_append(state["starts"], state["at"] + F.length(x["piece"])).alias("starts"),
-        ),
-        lambda state: state["starts"],
+        walk,
+        lambda state: F.flatten(F.array_append(state["done"], state["block"])),
     )
     return found, walked
 

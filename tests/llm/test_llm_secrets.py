@@ -89,3 +89,12 @@ def test_a_listed_word_beside_a_key_does_not_hide_it(table):
 
 def test_empty_table(table):
     assert with_spans(table([], "doc_id long, text string")).count() == 0
+
+
+def test_one_text_with_very_many_secrets(table):
+    n = 30_000
+    rows = [(1, "password=zyxwvutsrqpo\n" * n), (2, "é 0f0f0f0f0f0f0f0f" * 700)]
+    got = with_spans(table(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    first = [(s["start"], s["end"]) for s in got[0]["spans"] if s["kind"] == "assign"]
+    assert first == [(22 * i, 22 * i + 21) for i in range(n)]
+    assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(18 * i + 2, 18 * i + 18) for i in range(700)]
