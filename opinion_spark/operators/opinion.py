@@ -21,7 +21,7 @@ def user_opinion(
     ``user_items`` has one ``(user_id, item)`` row per text, the item being its digest, or its
     base64 form with ``digests=False``. The list names its texts in plain (``key="text"``) or
     base64 form. ``normalise``, for base64 items, compares texts with white space and commas as
-    ``jaccard_links(..., decode=True)`` writes them.
+    ``jaccard_links(..., decode=True)`` writes them. Digests meet, whole texts are not shuffled.
     """
     if key not in ("text", "base64"):
         raise ValueError("key must be 'text' or 'base64'")
@@ -30,10 +30,12 @@ def user_opinion(
     text = F.col("rt") if key == "text" else from_base64(F.col("rt"))
     item = F.col("item")
     if normalise:
-        name, item = one_line(text), one_line(from_base64(item))
+        name, item = text_digest(one_line(text)), text_digest(one_line(from_base64(item)))
+    elif digests:
+        name = text_digest(text)
     else:
         # Bring the short list to the form of the items rather than decode every item.
-        name = text_digest(text) if digests else to_base64(text)
+        name, item = text_digest(to_base64(text)), text_digest(item)
     opinions = (
         rt_opinions.where(F.col("opinion").isin(0, 1))
         .select(name.alias("name"), "opinion")

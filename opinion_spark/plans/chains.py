@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinion_spark.functions.text import one_line
 from opinion_spark.operators import counts, links, network, opinion, reshares, similarity
+from opinion_spark.staging import stage
 
 
 def activity_histogram(posts: DataFrame, th: int = 10) -> DataFrame:
@@ -28,8 +29,9 @@ def reshare_network(posts: DataFrame, th: int = 10, jaccard: float = 0.2) -> Dat
 
     The texts come in last, so only those with a link are looked up.
     """
-    links = similarity.jaccard_links(reshares.retweet_edges(posts, th), jaccard)
-    texts = reshares.texts(posts)
+    links = stage(similarity.jaccard_links(reshares.retweet_edges(posts, th), jaccard), "links")
+    ends = links.select(F.col("item1").alias("item")).union(links.select("item2"))
+    texts = reshares.texts(posts, ends)
     named = links
     for end in ("item1", "item2"):
         named = named.join(
