@@ -108,3 +108,10 @@ def test_posts_without_a_link_are_spread(spark, small, conf):
     posts = fx.posts(spark, small, urls=True)
     sizes = posts.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert max(r["count"] for r in sizes) < 200
+
+
+def test_posts_are_not_sorted_for_their_links(spark, small, conf):
+    """The page addresses are hashed, so a task's memory does not follow its share of the posts."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = fx.posts(spark, small, urls=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
