@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinion_spark import fixtures as fx
+from opinion_spark.operators import reshares
 
 
 @pytest.fixture
@@ -115,3 +116,14 @@ def test_posts_are_not_sorted_for_their_links(spark, small, conf):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     plan = fx.posts(spark, small, urls=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_reshares_of_digested_posts_are_those_of_texts(spark, small):
+    """Posts with digests in place of texts give the same edges, and carry no text."""
+    posts = fx.posts(spark, small, texts=True, reshared=True)
+    digested = fx.posts(spark, small, texts=True, reshared=True, digests=True)
+    longest = F.greatest(F.max(F.length("digest")), F.max(F.length("retweeted_digest")))
+    assert digested.agg(longest).first()[0] == 64 and "text" not in digested.columns
+    for th in (1, 3):
+        want, got = (sorted(map(tuple, reshares.retweet_edges(x, th).collect())) for x in (posts, digested))
+        assert want and got == want
