@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ from opinion_spark.staging import drop_staged, stage, staged_lookup
 
 #: One document in so many is looked at for common n-grams; in how many of them one must be; how many.
 SAMPLE, COMMON_IN, MOST_COMMON = 16, 3, 200_000
+#: Signatures meet in so many passes, each with its share of them on disk.
+PASSES = 4
 #: Sizes of one class differ by less than this factor.
 CLASS_RATIO = 1.45
 #: Most members of the sets of one unit, where each set counts this much besides.
@@ -128,7 +131,9 @@ def _common(docs: DataFrame, id_col: str, text: str, size: int) -> np.ndarray:
 
     some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0).select(text)
     frequent = some.mapInArrow(cut, "g bigint").groupBy("g").agg(F.count("*").alias("n"))
-    rows = frequent.where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "g").limit(MOST_COMMON).select("g").collect()
+    found = stage(frequent.where(F.col("n") >= COMMON_IN), "common")
+    rows = found.orderBy(F.desc("n"), "g").limit(MOST_COMMON).select("g").collect()
+    drop_staged(found)
     return np.sort(np.array([r["g"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -188,11 +193,22 @@ def _digest(s: np.ndarray) -> int:
 def _meetings(signed: DataFrame) -> DataFrame:
     """``(a, b)``: the first digest of a signature with each other one.
 
+    A shuffle of all signatures is more than twice the texts, so they come in passes by signature; what a pass
+    shuffles is deleted before the next.
+    """
+    rows = signed.where("dig IS NOT NULL").select(F.explode("sigs").alias("sig"), "dig", "id")
+    return reduce(
+        DataFrame.unionByName, [_met(rows.where(F.pmod("sig", F.lit(PASSES)) == i)) for i in range(PASSES)]
+    )
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """``(a, b)`` of the signatures of one pass.
+
     Rows are dealt by range of signature, digest and id, so a signature or a group of copies of any
     size is spread; each task reads its rows in order and keeps one. Where a signature goes on in
     the next range, the first digests of both are tied.
     """
-    rows = signed.where("dig IS NOT NULL").select(F.explode("sigs").alias("sig"), "dig", "id")
     ordered = rows.repartitionByRange("sig", "dig", "id").sortWithinPartitions("sig", "dig")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,3 +195,22 @@ def test_texts_under_one_id_meet_their_own_set_alone(table):
     assert sorted((r["id"], r["text"]) for r in found.collect()) == sorted({r for r in rows if r[0] and r[1]})
     got = ngram_join.linked_documents(docs)
     assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == brute(rows, 3, 90)
+
+
+def test_signatures_meet_in_passes(spark, table, monkeypatch):
+    """A pass shuffles its share of the signatures, and all of them together give the components."""
+    rows = [(i, f"{corpus()[i % 40][1]} {i // 40}") for i in range(120)]
+    met = []
+
+    def seen(signatures):
+        met.append({r["sig"] for r in signatures.select("sig").collect()})
+        return one_pass(signatures)
+
+    one_pass = ngram_join._met
+    monkeypatch.setattr(ngram_join, "_met", seen)
+    monkeypatch.setattr(ngram_join, "PASSES", 3)
+    found = ngram_components(table(rows, "doc_id long, text string"), size=2, percent=80)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, 2, 80)
+    every = set().union(*met)
+    assert len(met) == 3 and len(every) == sum(map(len, met))
+    assert max(map(len, met)) < len(every) / 2
